@@ -32,7 +32,7 @@ from meterlark.llm.components import connected_components
 
 BITS = 64
 #: Variants that a task handles at once; more are subdivided by another prefix bit.
-TASK_VARIANTS = 4_000_000
+TASK_VARIANTS = 1_000_000
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 
@@ -89,6 +89,14 @@ def _ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
+def _distinct(u: np.ndarray, v: np.ndarray, radius: int) -> np.ndarray:
+    """Distinct pairs, each verified to lie within ``radius``."""
+    by = np.lexsort((v, u))
+    u, v = u[by], v[by]
+    new = np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1])][: len(u)] & (_ones(u ^ v) <= radius)
+    return np.stack([u[new], v[new]], axis=1)
+
+
 def links_of_prefix(prints: np.ndarray, prefix: int, bits: int, half: int, limit: int = TASK_VARIANTS) -> np.ndarray:
     """Star links (u, v) among fingerprints that share a variant starting with ``prefix``."""
     shift = np.uint64(BITS - bits)
@@ -99,8 +107,8 @@ def links_of_prefix(prints: np.ndarray, prefix: int, bits: int, half: int, limit
     rest = BITS - bits
     ball = [sum(math.comb(rest, k) for k in range(half - j + 1)) for j in range(half + 1)]
     if sum(ball[j] * int((differ == j).sum()) for j in range(half + 1)) > limit and rest > 8:
-        parts = [links_of_prefix(prints, prefix << 1 | bit, bits + 1, half, limit) for bit in (0, 1)]
-        return np.unique(np.concatenate(parts), axis=0)
+        both = np.concatenate([links_of_prefix(prints, prefix << 1 | bit, bits + 1, half, limit) for bit in (0, 1)])
+        return _distinct(both[:, 0], both[:, 1], 2 * half)
     low = (np.uint64(1) << shift) - np.uint64(1) if rest < BITS else ~np.uint64(0)
     variants, owners = [], []
     for j in range(half + 1):
@@ -127,9 +135,8 @@ def links_of_prefix(prints: np.ndarray, prefix: int, bits: int, half: int, limit
     run, who = run[by], who[by]
     first = np.r_[True, run[1:] != run[:-1]]
     least = who[np.flatnonzero(first)[np.cumsum(first) - 1]]
-    pairs = np.stack([who, least], axis=1)[who != least]
-    pairs = np.unique(pairs, axis=0)
-    return pairs[_ones(pairs[:, 0] ^ pairs[:, 1]) <= 2 * half + 1]
+    del run, first, every, owner
+    return _distinct(who[who != least], least[who != least], 2 * half)
 
 
 def near_links(prints: DataFrame, radius: int = 4, bits: int | None = None) -> DataFrame:
