@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlark.llm import decontaminate, language, mixing, sharding, simhash, tokens
+from meterlark.llm import decontaminate, language, licenses, mixing, sharding, simhash, tokens
 
 
 def tokenizer_path() -> str:
@@ -25,6 +25,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digest(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
@@ -60,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_decontamination": decontaminate.ORACLE_SQL}
+    return {"op3_license_scan": licenses.ORACLE_SQL, "op8_decontamination": decontaminate.ORACLE_SQL}
