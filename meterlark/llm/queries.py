@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlark.llm import decontaminate, language, licenses, mixing, sharding, simhash, tokens
+from meterlark.llm import decontaminate, language, licenses, mixing, sharding, simhash, tokens, topk
 
 
 def tokenizer_path() -> str:
@@ -20,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.rated(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
@@ -64,4 +68,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_license_scan": licenses.ORACLE_SQL, "op8_decontamination": decontaminate.ORACLE_SQL}
+    return {"op1_top_k_search": topk.ORACLE_SQL, "op3_license_scan": licenses.ORACLE_SQL, "op8_decontamination": decontaminate.ORACLE_SQL}
