@@ -7,8 +7,9 @@ starts (position minus offset); the second rarest list, adjusted by its offset,
 them on (document, position); the few candidates left must then be found in all remaining lists.
 Windows with a term that has no posting are dropped before any list is read.
 
-No side of a join is hinted: Spark broadcasts the test set's windows and terms while the written
-tables are below its threshold and shuffles them beyond it. Documents are named by (doc_id, hash of
+Lists are read where they were written: the test set's terms and windows, and the ids of documents
+with candidates, are broadcast after a count, up to ``BROADCAST_ROWS`` rows; beyond it the same joins
+shuffle. Documents are named by (doc_id, hash of
 the text), so texts are neither shuffled nor grouped; a hot term only appears in a list that is
 intersected if it is rarest in a window.
 
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from meterlark.llm.common import alnum_words, materialise
 
 WINDOW = 10
+#: Most rows (some tens of bytes each) of a side that is broadcast.
+BROADCAST_ROWS = 1_000_000
 _COUNTED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -38,55 +41,71 @@ def _named(docs: DataFrame) -> DataFrame:
     )
 
 
-def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, win, words) of each distinct window of the items (item_id, text)."""
+def _side(table: DataFrame) -> DataFrame:
+    """A written table as the side of a join: broadcast if its counted rows allow it."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def windows_of(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows (win, words) of the items (item_id, text), and which items (item_id, win) have them."""
     words = items.select("item_id", alnum_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     starts = F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - window + 1)))
     cut = words.select("item_id", "w", starts.alias("s")).select("item_id", F.slice("w", F.col("s"), window).alias("words"))
-    return cut.select("item_id", F.md5(F.array_join("words", " ")).alias("win"), "words").distinct()
+    # ids by place in the written table
+    windows = materialise(cut.select("words").distinct().withColumn("win", F.monotonically_increasing_id()), "windows")
+    return windows, materialise(cut.join(windows, "words").select("item_id", "win").distinct(), "items")
+
 
+def vocabulary_of(windows: DataFrame) -> DataFrame:
+    """(term, tid) of the windows' distinct words."""
+    terms = windows.select(F.explode("words").alias("term")).distinct()
+    return materialise(terms.withColumn("tid", F.monotonically_increasing_id()), "vocabulary")
 
-def build_index(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """Postings (d, h, pos, term) of the texts; of the terms in column ``term``, if given."""
+
+def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """Postings (d, h, pos, tid) of the vocabulary's terms, each document's together."""
     tokens = _named(docs).select("d", "h", F.posexplode(alnum_words(F.col("text"))).alias("pos", "term"))
-    return materialise(tokens if terms is None else tokens.join(terms, "term", "left_semi").select("d", "h", "pos", "term"), "postings")
+    return materialise(tokens.join(_side(vocabulary), "term").select("d", "h", "pos", "tid"), "postings")
 
 
-def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
-    """(d, h, win, start, len) of every place where a window's words stand consecutively.
+def _listed(windows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(win, len, off, tid): the windows as lists."""
+    parts = windows.select("win", F.size("words").alias("len"), F.posexplode("words").alias("off", "term"))
+    return parts.join(vocabulary, "term").drop("term")
 
-    ``windows`` has win and words.
-    """
-    counts = index.groupBy("term").agg(F.count("*").alias("n"))
-    listed = windows.select("win", F.size("words").alias("len"), F.posexplode("words").alias("off", "term"))
+
+def phrase_matches(index: DataFrame, windows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(d, h, win, start, len) of every place where a window's words stand consecutively."""
+    counts = index.groupBy("tid").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("win")
     rated = materialise(
-        listed.join(counts, "term", "left")
-        .withColumn("rank", F.row_number().over(Window.partitionBy("win").orderBy(F.coalesce("n", F.lit(0)), "off")))
-        .withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(Window.partitionBy("win")))
+        _listed(windows, vocabulary)
+        .join(counts, "tid", "left")
+        .withColumn("rank", F.row_number().over(by.orderBy(F.coalesce("n", F.lit(0)), "off")))
+        .withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(by))
         .filter("least > 0")
         .drop("n", "least"),
         "terms",
     )
-    first = rated.filter("rank = 1").select("term", "win", "len", F.col("off").alias("off1"))
-    second = rated.filter("rank = 2").select("win", F.col("term").alias("term2"), F.col("off").alias("off2"))
-    starts = (
-        index.join(first, "term")
-        .withColumn("start", F.col("pos") - F.col("off1"))
-        .filter("start >= 0")
-        .select("d", "h", "win", "len", "start")
-    )
-    paired = starts.join(second, "win", "left")
-    lists = index.join(second.select(F.col("term2").alias("term")).distinct(), "term", "left_semi").select(
-        "d", "h", F.col("pos").alias("at"), F.col("term").alias("term2")
+    second = rated.filter("rank = 2").select("win", F.col("tid").alias("tid2"), F.col("off").alias("off2"))
+    first = rated.filter("rank = 1").select("tid", "win", "len", F.col("off").alias("off1")).join(second, "win", "left")
+    first = _side(materialise(first, "rarest"))
+    starts = index.join(first, "tid").withColumn("start", F.col("pos") - F.col("off1")).filter("start >= 0")
+    seconds = _side(materialise(second.select(F.col("tid2").alias("tid")).distinct(), "second"))
+    lists = index.join(seconds, "tid", "left_semi").select("d", "h", F.col("pos").alias("at"), F.col("tid").alias("tid2"))
+    alone = starts.filter("tid2 is null").select("d", "h", "win", "len", "start")
+    both = (
+        starts.filter("tid2 is not null")
+        .select("d", "h", "win", "len", "start", (F.col("start") + F.col("off2")).alias("at"), "tid2")
+        .join(lists, ["d", "h", "at", "tid2"], "left_semi")
     )
-    alone = paired.filter("term2 is null").select("d", "h", "win", "len", "start")
-    both = paired.withColumn("at", F.col("start") + F.col("off2")).join(lists, ["d", "h", "at", "term2"], "left_semi")
     left = materialise(both.select("d", "h", "win", "len", "start").unionByName(alone).distinct(), "starts")
-    rest = rated.filter("rank > 2").select("win", "term", "off")
-    asked = left.join(rest, "win").select("d", "h", "win", "len", "start", (F.col("start") + F.col("off")).alias("pos"), "term")
-    near = index.join(left.select("d", "h").distinct(), ["d", "h"], "left_semi").distinct()
+    rest = rated.filter("rank > 2").select("win", "tid", "off")
+    asked = left.join(rest, "win").select("d", "h", "win", "len", "start", (F.col("start") + F.col("off")).alias("pos"), "tid")
+    some = _side(materialise(left.select("d", "h").distinct(), "candidates"))
+    near = index.join(some, ["d", "h"], "left_semi")
     complete = (
-        asked.join(near, ["d", "h", "pos", "term"], "left_semi")
+        asked.join(near, ["d", "h", "pos", "tid"], "left_semi")
         .groupBy("d", "h", "win", "len", "start")
         .agg(F.count("*").alias("n"))
         .filter("n = len - 2")
@@ -95,43 +114,37 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
     return left.filter("len <= 2").unionByName(complete)
 
 
-def proximity_matches(index: DataFrame, windows: DataFrame, slack: int = 5) -> DataFrame:
-    """(d, h, win) of documents in which all of a window's terms stand within len + slack words.
+def proximity_matches(index: DataFrame, windows: DataFrame, vocabulary: DataFrame, slack: int = 5) -> DataFrame:
+    """(d, h, win, begin): spans of len + slack words that hold all of a window's distinct terms.
 
-    Bins of twice the span, overlapping by one span, hold every such place whole.
+    Every such span holds the rarest term, so only spans around its postings are looked into.
     """
-    listed = windows.select("win", (F.size("words") + slack).alias("span"), F.explode(F.array_distinct("words")).alias("term"))
-    need = windows.select("win", F.size(F.array_distinct("words")).alias("need"))
-    rarest = (
-        listed.join(index.groupBy("term").agg(F.count("*").alias("n")), "term")
-        .withColumn("rank", F.row_number().over(Window.partitionBy("win").orderBy("n", "term")))
-        .filter("rank = 1")
-        .select("win", "term", "span")
+    listed = _listed(windows, vocabulary).select("win", (F.col("len") + slack).alias("span"), "tid").distinct()
+    rated = (
+        listed.join(index.groupBy("tid").agg(F.count("*").alias("n")), "tid", "left")
+        .withColumn("rank", F.row_number().over(Window.partitionBy("win").orderBy(F.coalesce("n", F.lit(0)), "tid")))
+        .withColumn("need", F.count("*").over(Window.partitionBy("win")))
     )
-    # every match holds the rarest term, so its places anchor the spans that are looked into
-    around = index.join(rarest, "term").select("d", "h", "win", "span", F.col("pos").alias("anchor"))
-    begins = around.select(
-        "d", "h", "win", "span",
-        F.explode(F.sequence(F.greatest(F.lit(0), F.col("anchor") - F.col("span") + 1), F.col("anchor"))).alias("begin"),
-    ).distinct()
-    asked = begins.join(listed.select("win", "term"), "win")
-    held = asked.join(index, ["d", "h", "term"]).filter("pos >= begin and pos < begin + span")
+    begins = (
+        index.join(rated.filter("rank = 1").select("tid", "win", "span", "need"), "tid")
+        .select("d", "h", "win", "span", "need", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - F.col("span") + 1), F.col("pos"))).alias("begin"))
+        .distinct()
+    )
+    asked = begins.join(listed.select("win", "tid"), "win")
+    held = asked.join(index, ["d", "h", "tid"]).filter("pos >= begin and pos < begin + span")
     return (
-        held.groupBy("d", "h", "win", "begin")
-        .agg(F.count_distinct("term").alias("n"))
-        .join(need, "win")
+        held.groupBy("d", "h", "win", "begin", "need")
+        .agg(F.count_distinct("tid").alias("n"))
         .filter("n = need")
-        .select("d", "h", "win")
-        .distinct()
+        .select("d", "h", "win", "begin")
     )
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(d, h, n_hit, n_items, items_sha256) of the documents with any hit."""
-    named = materialise(windows_of(items, window), "windows")
-    windows = named.select("win", "words").dropDuplicates(["win"])
-    terms = materialise(windows.select(F.explode("words").alias("term")).distinct(), "vocabulary")
-    found = materialise(phrase_matches(build_index(docs, terms), windows), "matches")
+    windows, named = windows_of(items, window)
+    vocabulary = vocabulary_of(windows)
+    found = materialise(phrase_matches(build_index(docs, vocabulary), windows, vocabulary), "matches")
     hit = (
         found.select("d", "h", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos"))
         .distinct()
