@@ -3,8 +3,8 @@
 Documents are range-partitioned and sorted by doc_id; each partition is a shard file whose rows are
 blocks of about ``BLOCK_IDS`` ids cut at document ends (a longer document has a block to itself),
 so a task holds one block. A block carries its documents' ids and lengths and a wavelet matrix.
-Whole words between ASCII white space are tokenized once per worker and looked up after that: the
-tokenizer's normalizer and splitting pattern never join text across white space.
+Words are tokenized once per worker and looked up after that: the tokenizer's normalizer and
+splitting pattern never join text across white space, nor ASCII text across the pattern's cuts.
 
 Defined results: null text is empty (its ids are the end id alone); null doc_id sorts first; repeated
 rows each get ids of their own, ties in doc_id are ordered by a hash of the text; an empty table
@@ -13,12 +13,16 @@ gives no files and an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,16 +30,29 @@ from meterlark.llm.common import partitions, shared_dir
 from meterlark.llm.wavelet import WaveletMatrix
 
 BLOCK_IDS = 1 << 20
-#: Pieces that a worker remembers; longer pieces than this many bytes are not remembered.
-CACHE_PIECES, CACHE_BYTES = 300_000, 64
+#: Pieces, and parts of pieces, that a worker remembers; longer pieces than this many characters are not remembered.
+CACHE_PIECES, CACHE_PARTS, CACHE_CHARS = 800_000, 600_000, 64
 #: Bytes of text that are split at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 16 << 20
 
 FILE_SCHEMA = "part int, base long, n_docs int, n_ids long, docs binary, ids binary"
+FILE_NAMES = ["part", "base", "n_docs", "n_ids", "docs", "ids"]
+FILE_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
 
 class PieceEncoder:
-    """Token ids of whole texts, by the tokenizer at ``path``, with each piece encoded once."""
+    """Token ids of whole texts, by the tokenizer at ``path``, with each piece encoded once.
+
+    Texts are cut at ASCII white space and the cuts numbered by Arrow; Python sees distinct pieces.
+    A new ASCII piece is put together from its own parts: the tokenizer's splitting pattern cuts ASCII
+    into contractions, letters, single digits and runs of other characters. A run of Latin letters
+    goes to the tokenizer's model directly, as normalizing changes nothing but its case; whatever
+    else there is, special tokens included, passes all of its steps.
+    """
+
+    ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+    #: A Latin word, any case, and the common marks that may follow it.
+    LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:]*)")
 
     def __init__(self, path: str, end_id: int):
         import os
@@ -44,56 +61,99 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end_id = end_id
+        self.model, self.end_id = self.tokenizer.model, end_id
+        # What the tokenizer makes of each Latin letter; letters that it doesn't map one by one aren't listed.
+        letters = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7)]
+        self.letters = {ord(c): self._steps(c)[0] for c in letters}
+        self.plain = all(
+            self._steps(x) == [x.translate(self.letters)] for x in ("".join(letters), "".join(letters[::-1]))
+        ) and self._steps("don't stop, 42!") == ["don", "'t", "stop", ",", "4", "2", "!"]
+        self.parts: dict[str, bytes] = {}
         self._forget()
 
+    def _steps(self, piece: str) -> list[str]:
+        if self.tokenizer.normalizer is not None:
+            piece = self.tokenizer.normalizer.normalize_str(piece)
+        if self.tokenizer.pre_tokenizer is None:
+            return [piece]
+        return [word for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
+
     def _forget(self) -> None:
-        self.place = {None: 0}
-        self.flat = [np.array([self.end_id], np.uint32)]
-        self.size = 1
-        self.starts, self.lens = [0], [1]
-
-    def _learn(self, pieces: set) -> None:
-        for at in range(0, len(pieces := list(pieces)), 20_000):
-            part = pieces[at : at + 20_000]
-            for piece, code in zip(part, self.tokenizer.encode_batch([p.decode() for p in part], add_special_tokens=False)):
-                ids = np.array(code.ids, np.uint32)
-                self.place[piece] = len(self.starts)
-                self.starts.append(self.size)
-                self.lens.append(len(ids))
-                self.flat.append(ids)
-                self.size += len(ids)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's followed by the end id, and the number of ids of each text."""
-        if len(self.place) > CACHE_PIECES:
+        self.place = {"": 0}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.starts, self.lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.size, self.known = 0, 1
+
+    @staticmethod
+    def _room(values: np.ndarray, n: int) -> np.ndarray:
+        return values if n <= len(values) else np.concatenate([values, np.zeros(n, values.dtype)])
+
+    def _part(self, piece: str) -> bytes:
+        """Ids of what the splitting pattern leaves whole, or of a piece that isn't cut here."""
+        found = self.parts.get(piece)
+        if found is None:
+            if piece.isalpha() and self.LATIN.fullmatch(piece):
+                ids = [t.id for t in self.model.tokenize(piece.translate(self.letters))]
+            else:
+                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            found = array("I", ids).tobytes()
+            if len(piece) <= CACHE_CHARS:
+                self.parts[piece] = found
+        return found
+
+    def _code(self, piece: str) -> bytes:
+        if self.plain and "<|" not in piece:
+            if piece.isascii():
+                return b"".join(map(self._part, self.ASCII.findall(piece.lower())))
+            if latin := self.LATIN.fullmatch(piece):
+                return self._part(latin[1].lower()) + (self._part(latin[2]) if latin[2] else b"")
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        """Where the ids of each piece are; learns the new ones."""
+        if self.known > CACHE_PIECES:
             self._forget()
-        pieces: list = []
-        ends = []
-        for text in texts:
-            pieces += text.encode("utf-8").split()
-            pieces.append(None)
-            ends.append(len(pieces))
-        self._learn(set(pieces).difference(self.place))
-        self.flat = [np.concatenate(self.flat)]
-        at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
-        lens = np.array(self.lens, np.int64)[at]
-        upto = np.cumsum(lens)
-        ids = self.flat[0][np.repeat(np.array(self.starts, np.int64)[at] - upto + lens, lens) + np.arange(int(upto[-1]) if len(upto) else 0)]
-        for long in [p for p in set(pieces) if p and len(p) > CACHE_BYTES]:
+        if len(self.parts) > CACHE_PARTS:
+            self.parts.clear()
+        new = [p for p in pieces if p not in self.place]
+        codes = list(map(self._code, new))
+        lens = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+        ids, end = np.frombuffer(b"".join(codes), np.uint32), self.known + len(new)
+        self.flat = self._room(self.flat, self.size + len(ids))
+        self.flat[self.size : self.size + len(ids)] = ids
+        self.starts, self.lens = self._room(self.starts, end), self._room(self.lens, end)
+        self.lens[self.known : end] = lens
+        self.starts[self.known : end] = self.size + np.cumsum(lens) - lens
+        self.place.update(zip(new, range(self.known, end)))
+        self.size, self.known = self.size + len(ids), end
+        out = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
+        for long in [p for p in new if len(p) > CACHE_CHARS]:
             del self.place[long]  # its ids go when the rest is forgotten
-        return ids, np.diff(upto[np.array(ends, np.int64) - 1], prepend=0) if ends else np.zeros(0, np.int64)
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's followed by the end id, and the number of ids of each text."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        cut = pc.ascii_split_whitespace(texts)
+        named = cut.flatten().dictionary_encode()
+        ends = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
+        at = self._places(named.dictionary.to_pylist())[named.indices.to_numpy()]
+        lens = self.lens[at]
+        upto = np.concatenate([[0], np.cumsum(lens)])
+        ids = self.flat[np.repeat(self.starts[at] - upto[:-1], lens) + np.arange(int(upto[-1]))]
+        stops = upto[ends]
+        return np.insert(ids, stops[1:], np.uint32(self.end_id)), np.diff(stops) + 1
+
+
+_encoders: dict = {}
 
 
-def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= BATCH_BYTES:
-            yield start, k + 1
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _encoder(path: str, end_id: int) -> PieceEncoder:
+    """This worker's encoder; it serves all tasks that the worker runs."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = PieceEncoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def _pack_docs(ids: list, lens: np.ndarray) -> bytes:
@@ -117,10 +177,10 @@ def _unpack_docs(data: bytes) -> tuple[list, np.ndarray]:
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
     """Write the ids of all texts of ``docs`` (doc_id, text), in ascending doc_id order, to ``path``."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, base = TaskContext.get().partitionId(), PieceEncoder(tokenizer, end_id), 0
+        part, encoder, base = TaskContext.get().partitionId(), _encoder(tokenizer, end_id), 0
         docs_in, lens_in, ids_in, held = [], [], [], 0
 
         def take(of: list, lens: np.ndarray, ids: np.ndarray) -> None:
@@ -128,18 +188,21 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             lens_in.extend(lens.tolist())
             ids_in.append(ids)
 
-        def block() -> pd.DataFrame:
+        def block() -> pa.RecordBatch:
             nonlocal docs_in, lens_in, ids_in, held, base
             ids = np.concatenate(ids_in)
             row = [part, base, len(docs_in), len(ids), _pack_docs(docs_in, np.array(lens_in)), WaveletMatrix.build(ids).to_bytes()]
             base += len(ids)
             docs_in, lens_in, ids_in, held = [], [], [], 0
-            return pd.DataFrame([row], columns=["part", "base", "n_docs", "n_ids", "docs", "ids"])
-
-        for pdf in batches:
-            texts, doc_ids = pdf["text"].tolist(), [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
-            for a, b in _batches(texts):
-                ids, lens = encoder.encode(texts[a:b])
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, FILE_TYPES)], FILE_NAMES)
+
+        for batch in batches:
+            doc_ids = batch.column(0).to_pylist()
+            # texts of up to about BATCH_BYTES at once
+            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) // BATCH_BYTES
+            cuts = np.unique(np.r_[0, np.flatnonzero(np.diff(sizes)) + 1, len(doc_ids)])
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                ids, lens = encoder.encode(batch.column(1).slice(a, b - a))
                 upto, first = np.concatenate([[0], np.cumsum(lens)]), 0
                 for k in range(b - a):
                     if held and held + lens[k] > BLOCK_IDS:
@@ -158,7 +221,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         .repartitionByRange(n, "doc_id", "tie")
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "text")
-        .mapInPandas(write, FILE_SCHEMA)
+        .mapInArrow(write, FILE_SCHEMA)
         .write.option("compression", "uncompressed")
         .parquet(path)
     )

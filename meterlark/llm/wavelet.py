@@ -63,8 +63,7 @@ class WaveletMatrix:
         now = now.astype(np.uint16) if levels <= 16 else now
         planes, zeros = [], []
         for level in range(levels - 1, -1, -1):
-            bits = (now >> now.dtype.type(level)) & now.dtype.type(1)
-            ones = bits.view(bool) if bits.dtype == np.uint8 else bits.astype(bool)
+            ones = now & now.dtype.type(1 << level) != 0
             planes.append(_Plane(np.packbits(ones, bitorder="little"), n))
             low = now[~ones]
             zeros.append(len(low))
