@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterlark.llm import decontaminate, language, licenses, mixing, secrets, sharding, simhash, tokens, topk
+from meterlark.llm import decontaminate, language, licenses, mixing, secrets, sharding, simhash, suffixes, tokens, topk
 
 
 def tokenizer_path() -> str:
@@ -33,6 +33,10 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents"), length=100)
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_digest(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
