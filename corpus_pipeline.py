@@ -1,21 +1,52 @@
-"""The corpus pipeline: language ID, near-dedup, decontamination, mixing, token output."""
+"""The corpus pipeline: language ID, near-dedup, decontamination, mixing, token output.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; ``run`` writes each
+stage's rows as Parquet to the shared folder and reads them back as the next stage's ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterlark.llm import simhash
+from meterlark.llm import decontaminate, language, mixing, simhash, tokens
 from meterlark.llm.common import materialise
+from meterlark.llm.queries import tokenizer_path
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a language (null, or no letter) go."""
+    return language.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles; of each component the document with the smallest id stays."""
-    return simhash.keep_one_per_component(docs, shingle=5, radius=4)
+    """Of documents whose five-word shingles are 0.8 alike or more, one stays."""
+    return simhash.keep_one_of_near_copies(docs, shingle=5, similarity=0.8)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item go."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated, or left out, so that each source meets its target of words."""
+    return mixing.mix(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token files' documents: doc_id, start, n_tokens, ids_crc32."""
+    return tokens.token_digest(docs, tokenizer_path(), end_id=2)
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [
+    ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("source_mixing", source_mixing),
+    ("token_output", token_output),
+]
 
-#: No stage's hashing, model or file format can be written in SQL.
+#: Learned filters, 64-bit fingerprints and the tokenizer can't be written in SQL.
 ORACLE_SQL = None
 
 

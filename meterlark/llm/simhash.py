@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import UPPER, materialise
+from meterlark.llm.common import SPACE_CLASS, UPPER, lower_ascii, materialise
 from meterlark.llm.components import connected_components
 
 BITS = 64
@@ -97,8 +97,13 @@ def _distinct(u: np.ndarray, v: np.ndarray, radius: int) -> np.ndarray:
     return np.stack([u[new], v[new]], axis=1)
 
 
-def links_of_prefix(prints: np.ndarray, prefix: int, bits: int, half: int, limit: int = TASK_VARIANTS) -> np.ndarray:
-    """Star links (u, v) among fingerprints that share a variant starting with ``prefix``."""
+def links_of_prefix(
+    prints: np.ndarray, prefix: int, bits: int, half: int, limit: int = TASK_VARIANTS, centres: int = 1
+) -> np.ndarray:
+    """Star links (u, v) among fingerprints that share a variant starting with ``prefix``.
+
+    A star's centre is its run's least fingerprint, in one of ``centres`` orders by the variant.
+    """
     shift = np.uint64(BITS - bits)
     differ = _ones((prints >> shift) ^ np.uint64(prefix)) if bits else np.zeros(len(prints), np.uint8)
     prints, differ = prints[differ <= half], differ[differ <= half]
@@ -107,7 +112,7 @@ def links_of_prefix(prints: np.ndarray, prefix: int, bits: int, half: int, limit
     rest = BITS - bits
     ball = [sum(math.comb(rest, k) for k in range(half - j + 1)) for j in range(half + 1)]
     if sum(ball[j] * int((differ == j).sum()) for j in range(half + 1)) > limit and rest > 8:
-        both = np.concatenate([links_of_prefix(prints, prefix << 1 | bit, bits + 1, half, limit) for bit in (0, 1)])
+        both = np.concatenate([links_of_prefix(prints, prefix << 1 | bit, bits + 1, half, limit, centres) for bit in (0, 1)])
         return _distinct(both[:, 0], both[:, 1], 2 * half)
     low = (np.uint64(1) << shift) - np.uint64(1) if rest < BITS else ~np.uint64(0)
     variants, owners = [], []
@@ -131,15 +136,21 @@ def links_of_prefix(prints: np.ndarray, prefix: int, bits: int, half: int, limit
     at = np.minimum(np.searchsorted(shared, every[some]), len(shared) - 1)
     exact = shared[at] == every[some]
     run, who = at[exact], prints[owner[some[exact]]]
-    by = np.lexsort((who, run))
+    order = who
+    if centres > 1:
+        turn = spread(shared[run]) % np.uint64(centres) + np.uint64(1)
+        order = (who ^ turn * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0x9E3779B97F4A7C15)
+        order ^= order >> np.uint64(29)
+    by = np.lexsort((order, run))
     run, who = run[by], who[by]
     first = np.r_[True, run[1:] != run[:-1]]
     least = who[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    who, least = np.maximum(who, least), np.minimum(who, least)
     del run, first, every, owner
     return _distinct(who[who != least], least[who != least], 2 * half)
 
 
-def near_links(prints: DataFrame, radius: int = 4, bits: int | None = None) -> DataFrame:
+def near_links(prints: DataFrame, radius: int = 4, bits: int | None = None, centres: int = 1) -> DataFrame:
     """Links (u, v) between distinct fingerprints in column ``fp`` within ``radius`` bits.
 
     The links span every component; pairs inside a run of one variant are implied by its star.
@@ -164,50 +175,121 @@ def near_links(prints: DataFrame, radius: int = 4, bits: int | None = None) -> D
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        found = links_of_prefix(np.unique(own), int(key[0]), bits, half)
+        found = links_of_prefix(np.unique(own), int(key[0]), bits, half, centres=centres)
         return pd.DataFrame({"u": found[:, 0].view(np.int64), "v": found[:, 1].view(np.int64)})
 
     return sent.groupBy("prefix").applyInPandas(meet, "u long, v long")
 
 
-def _rows_and_parts(docs: DataFrame, shingle: int, radius: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, text_key, fp) and, for each fingerprint, its component's smallest row."""
-    rows = materialise(
-        docs.select("doc_id", F.xxhash64("text").alias("text_key"), fingerprint(F.col("text"), shingle, seed).alias("fp")),
-        "fingerprints",
-    )
-    prints = rows.groupBy("fp").agg(
-        F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "text_key")).alias("first_row")
-    )
+def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text)."""
+    rows = materialise(docs.select("doc_id", fingerprint(F.col("text"), shingle, seed).alias("fp")), "fingerprints")
+    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     parts = connected_components(materialise(near_links(prints.select("fp"), radius), "near"))
     named = prints.join(parts, prints.fp == parts.node, "left").select(
-        "fp", "least", "first_row", F.coalesce("component", "fp").alias("component")
+        "fp", "least", F.coalesce("component", "fp").alias("component")
     )
-    least = named.groupBy("component").agg(
-        F.min("least").alias("component_id"), F.min("first_row").alias("first_row")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.join(named.select("fp", "component").join(least, "component").drop("component"), "fp").select(
+        "doc_id", "fp", "component_id"
     )
-    return rows, named.select("fp", "component").join(least, "component").drop("component")
 
 
-def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text)."""
-    rows, parts = _rows_and_parts(docs, shingle, radius, seed)
-    return rows.join(parts, "fp").select("doc_id", "fp", "component_id")
+#: Word fingerprints of the near-copy stage, and orders of their stars' centres.
+SEEDS, CENTRES = (42, 43, 44), 4
+
+
+def word_fingerprints(text: str | None, seeds: tuple = SEEDS) -> list[int]:
+    """SimHashes over single words, each weighing the root of its count."""
+    from collections import Counter
+
+    import xxhash
+
+    counts = Counter((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
+    if not counts:
+        return [0] * len(seeds)
+    weight = np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)))
+    out = []
+    for seed in seeds:
+        digests = np.fromiter([xxhash.xxh64_intdigest(w, seed) for w in counts], np.uint64, len(counts))
+        bits = np.unpackbits(digests.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out.append(int(np.packbits(weight @ bits > weight.sum() / 2, bitorder="little").view(np.uint64)[0]))
+    return out
 
 
-def keep_one_per_component(docs: DataFrame, shingle: int = 5, radius: int = 4, seed: int = 42) -> DataFrame:
-    """Rows of ``docs``, all columns, with one document left of each near-duplicate component.
+def _shingles(text: Column, k: int) -> tuple[Column, Column]:
+    """The words, and over their column ``_w`` the distinct hashes of k-word shingles (fewer: one of all)."""
+    words = F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SPACE_CLASS + "+"), "")
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - k + 1))
+    return words, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("_w", i, k))))
 
-    The row with the smallest (doc_id, text hash) stays; of exact repeats of it, one.
+
+def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text_key) and verified links (u, v) between text keys.
+
+    Five-word shingles are too sensitive for a radius of 4 bits: texts that share 0.8 of them differ in
+    5 to 14 bits. So candidates come from ball hashing of word fingerprints, by three seeds, and a link
+    stands only if the texts' sets of shingles have at least ``similarity`` (Jaccard) in common.
     """
-    _, parts = _rows_and_parts(docs, shingle, radius, seed)
-    least = F.lit(-(1 << 63))
-    stay = parts.select(
-        F.coalesce("first_row.doc_id", least).alias("_id"), F.col("first_row.text_key").alias("_key")
-    ).distinct()
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", least), "_key": F.xxhash64("text")})
-    return keyed.join(stay, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]).drop("_id", "_key")
+    names = [f"f{k}" for k in range(len(SEEDS))]
+
+    @F.pandas_udf(", ".join(f"{n} long" for n in names))
+    def prints_of(texts: pd.Series) -> pd.DataFrame:
+        found = np.array([word_fingerprints(x) for x in texts], np.uint64).reshape(-1, len(names))
+        return pd.DataFrame(found.view(np.int64), columns=names)
+
+    rows = materialise(
+        docs.select("doc_id", F.xxhash64("text").alias("text_key"), prints_of(F.coalesce("text", F.lit(""))).alias("_f")).select(
+            "doc_id", "text_key", *[F.col(f"_f.{n}").alias(n) for n in names]
+        ),
+        "word-prints",
+    )
+    texts = rows.dropDuplicates(["text_key"])
+    pairs = None
+    for name in names:
+        prints = texts.groupBy(F.col(name).alias("fp")).agg(F.min("text_key").alias("first"))
+        prints = materialise(prints, "prints")
+        star = texts.join(prints, texts[name] == prints.fp).select(F.col("text_key").alias("u"), F.col("first").alias("v"))
+        near = materialise(near_links(prints.select("fp"), radius, centres=CENTRES), "near")
+        named = near.join(prints.select(F.col("fp").alias("u"), F.col("first").alias("_a")), "u").join(
+            prints.select(F.col("fp").alias("v"), F.col("first").alias("_b")), "v"
+        )
+        links = star.unionByName(named.select(F.col("_a").alias("u"), F.col("_b").alias("v"))).filter("u != v")
+        pairs = links if pairs is None else pairs.unionByName(links)
+    pairs = materialise(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+    asked = pairs.select(F.col("u").alias("text_key")).unionByName(pairs.select(F.col("v").alias("text_key"))).distinct()
+    words, hashed = _shingles(F.col("text"), shingle)
+    sets = materialise(
+        docs.select(F.xxhash64("text").alias("text_key"), "text")
+        .join(asked, "text_key", "left_semi")
+        .select("text_key", words.alias("_w"))
+        .select("text_key", hashed.alias("s"))
+        .dropDuplicates(["text_key"]),
+        "shingles",
+    )
+    both = pairs.join(sets.select(F.col("text_key").alias("u"), F.col("s").alias("a")), "u").join(
+        sets.select(F.col("text_key").alias("v"), F.col("s").alias("b")), "v"
+    )
+    common = F.size(F.array_intersect("a", "b"))
+    verified = both.withColumn("n", common).filter(F.col("n") >= similarity * (F.size("a") + F.size("b") - F.col("n")) - 1e-9)
+    return rows.select("doc_id", "text_key"), verified.select("u", "v")
+
 
+def keep_one_of_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+    """Rows of ``docs``, all columns, with one document left of each group of near copies.
 
-def hex_print(fp: Column) -> Column:
-    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+    Groups are components of ``near_copy_links``; equal texts are one. The row with the smallest
+    (doc_id, text hash) stays; of exact repeats of it, one.
+    """
+    rows, links = near_copy_links(docs, shingle, similarity, radius)
+    parts = connected_components(materialise(links, "verified"))
+    by_text = rows.groupBy("text_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first_row"))
+    named = by_text.join(parts, by_text.text_key == parts.node, "left")
+    stay = named.groupBy(F.coalesce("component", "text_key").alias("part")).agg(F.min("first_row").alias("r"))
+    least = F.lit(-(1 << 63))
+    stay = materialise(stay.select(F.coalesce("r.doc_id", least).alias("_id"), F.col("r.text_key").alias("_key")), "stay")
+    keyed = docs.withColumns({"_id": F.coalesce("doc_id", least), "_key": F.xxhash64("text")})
+    left = keyed.join(stay, ["_id", "_key"], "left_semi")
+    if not rows.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
+        left = left.dropDuplicates(["_id", "_key"])
+    return left.drop("_id", "_key")
