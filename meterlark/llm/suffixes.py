@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import materialise, partitions
+from meterlark.llm.common import materialise, materialise_dealt, partitions
 from meterlark.llm.induced import BREAK, SHIFT, suffix_array
 
 LENGTH, GRAM = 100, 20
@@ -271,7 +271,7 @@ def _meet(n: int, length: int):
             several = np.flatnonzero(np.r_[False, g[kept][1:] == g[kept][:-1]] | np.r_[g[kept][1:] == g[kept][:-1], False]) if len(kept) > 1 else []
             if len(several):
                 own = kept[several]
-                out += _deal(SHARED, _share(rows[own], n), n, [rows[own], ids[own], start[own], windows[own], np.full(len(own), bucket, np.uint32)])
+                out += _deal(SHARED, _share(rows[own], n), n, [rows[own], ids[own], start[own], windows[own], (bucket + n * (g[own] // np.uint64(n) % np.uint64(2))).astype(np.uint32)])
             if out:
                 yield _frame(out)
 
@@ -372,31 +372,29 @@ def _sort_shard(n: int, length: int):
 
 def _remove(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Step 3, by document: what is left of each text."""
-    ids, rows, lens, data = _texts(_blobs(left))
     row, start, end = Columns.all(_blobs(right), _RUN)
-    begin = np.cumsum(lens) - lens
-    by = np.argsort(rows, kind="stable")
-    at = by[np.searchsorted(rows[by], row)] if len(row) else np.zeros(0, np.int64)
-    # ends of texts are kept apart by one place each
-    shift = begin + np.arange(len(lens))
-    n = len(data) + len(lens) + 1
-    depth = np.bincount(shift[at] + start, minlength=n) - np.bincount(shift[at] + end, minlength=n)
-    gone = np.cumsum(depth) > 0
-    rises = gone & ~np.r_[False, gone[:-1]]
-    count = lambda flags: np.diff(np.r_[0, np.cumsum(flags)][np.r_[shift, n - 1]]) if len(lens) else np.zeros(0, np.int64)
-    removed, spans = count(gone), count(rises)
-    kept = data[~np.delete(gone, np.r_[shift[1:] - 1, n - 2, n - 1] if len(lens) else [])] if len(data) else data
-    stop = np.cumsum(lens - removed)
-    digest = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip((stop - lens + removed).tolist(), stop.tolist())]
-    return pd.DataFrame(
-        {
+    by = np.argsort(row, kind="stable")
+    row, start, end = row[by], start[by].astype(np.int64), end[by].astype(np.int64)
+    parts = [pd.DataFrame({"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []})]
+    for blob in _blobs(left):  # a batch's documents of this share
+        ids, rows, lens, data = _unpack_texts(blob)
+        low, high = np.searchsorted(row, rows, "left"), np.searchsorted(row, rows, "right")
+        runs = _stretches(low, high - low)
+        # texts are kept apart by one place each
+        shift = np.cumsum(lens) - lens + np.arange(len(lens))
+        at, n = np.repeat(shift, high - low), len(data) + len(lens) + 1
+        depth = np.bincount(at + start[runs], minlength=n) - np.bincount(at + end[runs], minlength=n)
+        gone = np.cumsum(depth) > 0
+        rises = gone & ~np.r_[False, gone[:-1]]
+        count = lambda flags: np.diff(np.r_[0, np.cumsum(flags)][np.r_[shift, n - 1]])  # noqa: B023, E731
+        removed, spans = count(gone), count(rises)
+        kept = data[~np.delete(gone, np.r_[shift[1:] - 1, n - 2, n - 1])]
+        stop = np.cumsum(lens - removed)
+        digest = [hashlib.sha256(kept[a:b]).hexdigest() for a, b in zip((stop - lens + removed).tolist(), stop.tolist())]
+        parts.append(pd.DataFrame({
             "doc_id": pd.array([None if i == _NO_ID else i for i in ids.tolist()], "Int64"),
-            "n_bytes": lens,
-            "n_removed": removed,
-            "n_spans": spans,
-            "kept_sha256": digest,
-        }
-    )
+            "n_bytes": lens, "n_removed": removed, "n_spans": spans, "kept_sha256": digest}))
+    return pd.concat(parts[1:] or parts)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -410,19 +408,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         F.monotonically_increasing_id().alias("row"),
         F.coalesce("text", F.lit("")).cast("binary").alias("text"),
     )
-    first = materialise(
+    first = materialise_dealt(
         texts.mapInArrow(_hash_texts(n, length, gram), PACKED).repartition(n, "kind", "bucket").mapInArrow(_meet(n, length), PACKED),
         "shards",
+        "bucket",
+        n,
     )
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets Spark drop the shuffle files of what has been written
-    # columns of their own, as both sides of a cogroup come from one table
-    of = lambda kind: first.filter(F.col("kind") == kind).select(*(F.col(c).alias(c) for c in ("bucket", "data")))
-    asked = of(TEXT).groupBy("bucket").cogroup(of(SHARED).groupBy("bucket")).applyInPandas(_fetch(n, length), "bucket int, data binary")
+    # texts are read where they were dealt, not shuffled again; the other side gets columns of its own
+    of = lambda kind: spark.table(first).filter(F.col("kind") == kind).select("bucket", "data")
+    renamed = lambda df: df.select(*(F.col(c).alias(c) for c in df.columns))
+    asked = of(TEXT).groupBy("bucket").cogroup(renamed(of(SHARED)).groupBy("bucket")).applyInPandas(_fetch(n, length), "bucket int, data binary")
     sorted_ = materialise(asked.groupBy("bucket").applyInPandas(_sort_shard(n, length), "bucket int, data binary"), "repeats")
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    runs = of(REPEATED).unionByName(sorted_)
+    runs = renamed(of(REPEATED)).unionByName(sorted_)
     return of(TEXT).groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInPandas(
         _remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
