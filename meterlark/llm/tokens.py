@@ -18,6 +18,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from meterlark.llm.wavelet import WaveletMatrix
 
 BLOCK_IDS = 1 << 20
 #: Pieces, and parts of pieces, that a worker remembers; longer pieces than this many characters are not remembered.
-CACHE_PIECES, CACHE_PARTS, CACHE_CHARS = 800_000, 600_000, 64
+CACHE_PIECES, CACHE_PARTS, CACHE_CHARS = 300_000, 300_000, 64
 #: Bytes of text that are split at once.
 BATCH_BYTES = 16 << 20
 
@@ -51,8 +52,8 @@ class PieceEncoder:
     """
 
     ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
-    #: A Latin word, any case, and the common marks that may follow it.
-    LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,!?;:]*)")
+    #: A Latin word, any case, and the marks that may follow it.
+    LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 
     def __init__(self, path: str, end_id: int):
         import os
@@ -109,13 +110,18 @@ class PieceEncoder:
                 return self._part(latin[1].lower()) + (self._part(latin[2]) if latin[2] else b"")
         return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
-    def _places(self, pieces: list[str]) -> np.ndarray:
-        """Where the ids of each piece are; learns the new ones."""
+    def _places(self, pieces: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Where the ids of each piece are; new ones that occur again are remembered."""
         if self.known > CACHE_PIECES:
             self._forget()
         if len(self.parts) > CACHE_PARTS:
             self.parts.clear()
-        new = [p for p in pieces if p not in self.place]
+        out = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        lack = np.flatnonzero(out < 0)
+        # what occurs once here goes behind the rest, where the next batch overwrites it
+        lack = lack[np.argsort(counts[lack] < 2, kind="stable")]
+        often = int((counts[lack] >= 2).sum())
+        new = pieces[lack].tolist()
         codes = list(map(self._code, new))
         lens = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
         ids, end = np.frombuffer(b"".join(codes), np.uint32), self.known + len(new)
@@ -124,11 +130,9 @@ class PieceEncoder:
         self.starts, self.lens = self._room(self.starts, end), self._room(self.lens, end)
         self.lens[self.known : end] = lens
         self.starts[self.known : end] = self.size + np.cumsum(lens) - lens
-        self.place.update(zip(new, range(self.known, end)))
-        self.size, self.known = self.size + len(ids), end
-        out = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
-        for long in [p for p in new if len(p) > CACHE_CHARS]:
-            del self.place[long]  # its ids go when the rest is forgotten
+        out[lack] = np.arange(self.known, end)
+        self.place.update((p, self.known + k) for k, p in enumerate(new[:often]) if len(p) <= CACHE_CHARS)
+        self.size, self.known = self.size + int(lens[:often].sum()), self.known + often
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +142,9 @@ class PieceEncoder:
         cut = pc.ascii_split_whitespace(texts)
         named = cut.flatten().dictionary_encode()
         ends = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
-        at = self._places(named.dictionary.to_pylist())[named.indices.to_numpy()]
+        codes = named.indices.to_numpy()
+        pieces = named.dictionary.to_numpy(zero_copy_only=False)
+        at = self._places(pieces, np.bincount(codes, minlength=len(pieces)))[codes]
         lens = self.lens[at]
         upto = np.concatenate([[0], np.cumsum(lens)])
         ids = self.flat[np.repeat(self.starts[at] - upto[:-1], lens) + np.arange(int(upto[-1]))]
