@@ -74,7 +74,7 @@ def run_gold(spark: SparkSession, paths: Paths, interval: str | None = None, max
         date = "_alert_date" if name == "alerts" else "_partition_date"
         table = paths.table(name, date, "severity") if name == "alerts" else paths.table(name, date)
         rows = df.withColumn(date, F.to_date("window_start"))
-        queries.append(start(rows, paths.checkpoint(name), lambda batch, k, table=table: table.write(batch, k), name, interval))
+        queries.append(start(rows, paths.checkpoint(name), lambda batch, k, table=table: table.write(batch, k), name, interval, reused=False))
     return queries
 
 

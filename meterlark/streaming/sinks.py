@@ -44,13 +44,19 @@ class BatchTable:
         self.write(insert_absent(rows, held if recent is None else held.filter(recent), keys, order), batch_id)
 
 
-def on_batch(handle: Callable[[DataFrame, int], None], skip_empty: bool = True) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch callback whose batch is computed once."""
+def on_batch(handle: Callable[[DataFrame, int], None], reused: bool = True) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch callback. A batch that the handler reads more than once is computed once.
+
+    Batches of stateful queries are handed on as they are; their handlers read them once.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        if not reused:
+            handle(batch, batch_id)
+            return
         batch.persist()
         try:
-            if not (skip_empty and batch.isEmpty()):
+            if not batch.isEmpty():
                 handle(batch, batch_id)
         finally:
             batch.unpersist()
@@ -58,9 +64,9 @@ def on_batch(handle: Callable[[DataFrame, int], None], skip_empty: bool = True)
     return run
 
 
-def start(df: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], name: str, interval: str | None = None, mode: str = "append") -> StreamingQuery:
+def start(df: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], name: str, interval: str | None = None, mode: str = "append", reused: bool = True) -> StreamingQuery:
     """Starts the query: as soon as there is data for ``interval``, or all there is now and then stops."""
-    writer: DataStreamWriter = df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(on_batch(handle))
+    writer: DataStreamWriter = df.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(on_batch(handle, reused))
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
