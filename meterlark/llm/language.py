@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterlark.llm.common import bound_batches
+
 SAMPLE_ROWS = 2_000
 MAX_LANGUAGES = 64
 COVER, MOST = 0.9, 40_000
@@ -101,6 +103,7 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFilters:
     """Filters from the labelled rows of ``docs`` (doc_id, text, lang) outside the held-out fold."""
+    bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import SPACE_CLASS, UPPER, lower_ascii, materialise
+from meterlark.llm.common import SPACE_CLASS, UPPER, bound_batches, lower_ascii, materialise
 from meterlark.llm.components import connected_components
 
 BITS = 64
@@ -183,6 +183,7 @@ def near_links(prints: DataFrame, radius: int = 4, bits: int | None = None, cent
 
 def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text)."""
+    bound_batches(docs.sparkSession)
     rows = materialise(docs.select("doc_id", fingerprint(F.col("text"), shingle, seed).alias("fp")), "fingerprints")
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     parts = connected_components(materialise(near_links(prints.select("fp"), radius), "near"))
@@ -231,6 +232,7 @@ def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     5 to 14 bits. So candidates come from ball hashing of word fingerprints, by three seeds, and a link
     stands only if the texts' sets of shingles have at least ``similarity`` (Jaccard) in common.
     """
+    bound_batches(docs.sparkSession)
     names = [f"f{k}" for k in range(len(SEEDS))]
 
     @F.pandas_udf(", ".join(f"{n} long" for n in names))

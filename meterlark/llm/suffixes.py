@@ -37,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import materialise, materialise_dealt, partitions
+from meterlark.llm.common import bound_batches, gathered, materialise, materialise_dealt, partitions
 from meterlark.llm.induced import BREAK, SHIFT, suffix_array
 
 LENGTH, GRAM = 100, 20
 #: Bytes of text that are hashed at once; longer texts are cut, overlapping by a window.
 BATCH = 2 << 20
+#: Bytes of text that are packed at once.
+GATHERED = 24 << 20
 ANCHORS, TEXT, REPEATED, SHARED = 0, 1, 2, 3
 PACKED = "kind int, bucket int, data binary"
 _NO_ID = -(1 << 63)
@@ -208,7 +210,7 @@ def _hash_texts(n: int, length: int, gram: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _hashers.setdefault(0, None) or Hasher(BATCH + 4 * LENGTH)
         _hashers[0] = hasher
-        for batch in batches:
+        for batch in gathered(batches, GATHERED):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             rows = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             texts = batch.column(2).to_pylist()
@@ -403,6 +405,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
         raise ValueError("windows must be longer than grams and at most 256 bytes")
     spark = docs.sparkSession
     n = partitions(spark)
+    bound_batches(spark)
     texts = docs.select(
         F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"),
         F.monotonically_increasing_id().alias("row"),

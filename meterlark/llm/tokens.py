@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import partitions, shared_dir
+from meterlark.llm.common import bound_batches, gathered, partitions, shared_dir
 from meterlark.llm.wavelet import WaveletMatrix
 
 BLOCK_IDS = 1 << 20
@@ -202,7 +202,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             docs_in, lens_in, ids_in, held = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, FILE_TYPES)], FILE_NAMES)
 
-        for batch in batches:
+        for batch in gathered(batches, BATCH_BYTES):
             doc_ids = batch.column(0).to_pylist()
             # texts of up to about BATCH_BYTES at once
             sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) // BATCH_BYTES
@@ -221,6 +221,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield block()
 
     n = partitions(docs.sparkSession)
+    bound_batches(docs.sparkSession)
     (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
         .withColumn("tie", F.xxhash64("text"))
