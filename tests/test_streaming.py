@@ -114,3 +114,20 @@ def test_generator_does_not_depend_on_partitions(spark):
         spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
     share = generate(spark, 5000).agg(F.avg(F.col("is_duplicate").cast("int")), F.avg(F.col("is_late").cast("int")), F.avg(F.col("is_suspicious").cast("int"))).first()
     assert abs(share[0] - 0.02) < 0.01 and abs(share[1] - 0.05) < 0.015 and abs(share[2] - 0.03) < 0.01
+
+
+def test_monitored_batches(spark, tmp_path):
+    from meterlark.streaming.monitor import Monitor
+
+    raw = adapter.raw_usage_events(spark.read.parquet(f"{SMALL}/events.parquet"))
+    seen = []
+    monitor = Monitor("silver", str(tmp_path), as_of=F.lit("2024-01-01 00:30:00").cast("timestamp"))
+    for _ in range(2):  # a retry replaces the batch's rows
+        monitor.around(lambda good, k: seen.append(good.count()))(raw, 3)
+    assert seen[0] == seen[1] < raw.count()
+    read = lambda name: monitor.table(name).read(spark)
+    assert read("quarantine").count() == raw.count() - seen[0]
+    row = read("quality_metrics").first()
+    assert row.total_records == raw.count() and row.valid_records == seen[0] and read("quality_metrics").count() == 1
+    assert read("observability_metrics").first().record_count == raw.count()
+    assert "processing_lag_critical" in {r.alert_type for r in read("observability_alerts").collect()}
