@@ -80,6 +80,21 @@ def test_mixing_edges(spark):
     assert mixing.mix(awkward(spark)).columns == awkward(spark).columns
 
 
+def test_targets_by_repeated_sharing(spark):
+    rng = np.random.default_rng(8)
+    for sizes in ([5] * 7, [1, 1, 1], [0, 0], [100, 1, 1, 1, 50], rng.integers(0, 30, 12).tolist()):
+        totals = spark.createDataFrame([(f"s{i:02}", int(x)) for i, x in enumerate(sizes)], "source string, source_size long")
+        got = [r.target for r in mixing.targets(totals).orderBy("source").collect()]
+        limit, w = 2.0 * np.array(sizes), np.array([(3, 1, 2)[i % 3] for i in range(len(sizes))], float)
+        want, pool, free = np.zeros(len(sizes)), 1.5 * sum(sizes), np.ones(len(sizes), bool)
+        while pool > 1e-12 and free.any():
+            want = want + np.where(free, pool * w / w[free].sum(), 0)
+            pool = float(np.maximum(want - limit, 0).sum())
+            free &= want < limit
+            want = np.minimum(want, limit)
+        assert np.allclose(got, want)
+
+
 def test_targets_of_one_saturated_source(spark):
     totals = spark.createDataFrame([("a", 10), ("b", 0), (None, 1)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(totals).collect()}
