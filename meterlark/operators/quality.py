@@ -117,6 +117,10 @@ def with_error_like(checked: DataFrame, pattern: str, category: str = "null_fiel
     return checked.filter(F.exists(F.col("quality_check_errors")[category], lambda x: x.like(pattern)))
 
 
+def with_error(checked: DataFrame, name: str, category: str = "value_errors") -> DataFrame:
+    return checked.filter(F.array_contains(F.col("quality_check_errors")[category], name))
+
+
 def hourly_trend(checked: DataFrame, time: str = "event_timestamp") -> DataFrame:
     return checked.groupBy(F.date_trunc("hour", time).alias("hour")).agg(
         F.count("*").alias("total_records"), F.count_if("quality_check_passed").alias("valid_records")

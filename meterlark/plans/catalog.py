@@ -226,6 +226,11 @@ def top_tenants(events):
     return gold.top_tenants(gold.tenant_summary(_clean(events)))
 
 
+@query("SELECT tenant_id, plan_tier, total_requests, success_rate FROM summary WHERE tenant_id = 'tenant-05'", _SUMMARY)
+def tenant_lookup(events):
+    return gold.tenant_lookup(gold.tenant_summary(_clean(events)), "tenant-05").select("tenant_id", "plan_tier", "total_requests", "success_rate")
+
+
 @query("""SELECT sum(total_requests)::BIGINT AS total_requests, count(*) AS tenants, round(avg(avg_latency_ms), 6) AS avg_latency_ms,
 round(sum(total_billing_units), 6) AS total_billing_units, round(avg(success_rate), 6) AS avg_success_rate, round(avg(avg_risk_score), 6) AS avg_risk_score FROM summary""", _SUMMARY)
 def dashboard_headline(events):
@@ -498,6 +503,11 @@ def events_with_null_errors(events):
     return quality.with_error_like(_checked(events), "null\\_%").select("event_id", "src_offset")
 
 
+@query("SELECT event_id, src_offset FROM checked WHERE list_contains(vals, 'invalid_range_status_code')", _RAW, _CHECKED)
+def events_with_bad_status(events):
+    return quality.with_error(_checked(events), "invalid_range_status_code").select("event_id", "src_offset")
+
+
 @query(f"""SELECT {_t("date_trunc('hour', event_timestamp)")} AS hour, count(*) AS total_records, count(*) FILTER (len(nulls) + len(vals) = 0) AS valid_records FROM checked GROUP BY 1""", _RAW, _CHECKED)
 def quality_trend(events):
     return _round(quality.hourly_trend(_checked(events)))
@@ -730,3 +740,20 @@ def noisiest_layers(events):
 def batch_metrics(events):
     found = observe.batch_metrics(_clean(events), "silver", 1, F.lit("2024-02-01").cast("timestamp"), 30.0)
     return _round(found.select("layer", "record_count", "avg_processing_lag_sec", "data_freshness_sec", "throughput_rec_per_sec"))
+
+
+# --- sources ----------------------------------------------------------------------------------------------
+
+@query()
+def synthetic_events(events):
+    """Ten thousand events of the generator, by plan."""
+    from meterlark.sources.generator import generate
+
+    return audits.summary(generate(events.sparkSession))
+
+
+@query("SELECT tenant_id AS key, event_id FROM clean")
+def outgoing_messages(events):
+    from meterlark.sources.readers import to_messages
+
+    return to_messages(adapter.nested_events(_clean(events))).select("key", F.get_json_object("value", "$.event_id").alias("event_id"))
