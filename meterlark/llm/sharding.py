@@ -82,17 +82,17 @@ def splitters_for(rows: DataFrame, total: int) -> tuple[Splitters, list]:
         }
         if not pieces:
             break
-        each = max(2.0, SAMPLE / sum(pieces.values()))
-        rate = {k: v * each / next(r["bytes"] for r in totals if r["rng"] == k) for k, v in pieces.items()}
-        table = F.create_map(*[F.lit(x) for kv in rate.items() for x in kv])
-        drawn = _sample(ranged, F.coalesce(F.try_element_at(table, F.col("rng")) * F.col("size"), F.lit(0.0)), salt)
+        each, held = max(2.0, SAMPLE / sum(pieces.values())), {r["rng"]: r["bytes"] for r in totals}
+        rates = rows.sparkSession.createDataFrame([(k, v * each / held[k]) for k, v in pieces.items()], "rng int, rate double")
+        rated = ranged.join(F.broadcast(rates), "rng")  # a row for each range to be cut
+        drawn: dict[int, list] = {}
+        for r in _sample(rated, F.col("rate") * F.col("size"), salt):
+            drawn.setdefault(r["rng"], []).append((r["h"], r["id"], r["w"]))
         keys = list(found.keys)
-        for k, n in pieces.items():
-            own = sorted((r["h"], r["id"], r["w"]) for r in drawn if r["rng"] == k)
-            if not own:
-                continue
+        for k, own in drawn.items():
+            own.sort()
             upto = np.cumsum([w for *_, w in own])
-            at = np.searchsorted(upto, np.arange(1, n) * upto[-1] / n)
+            at = np.searchsorted(upto, np.arange(1, pieces[k]) * upto[-1] / pieces[k])
             keys += [own[i][:2] for i in np.unique(at)]
         if len(set(keys)) == len(found.keys):
             break
