@@ -196,6 +196,11 @@ def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, seed:
     )
 
 
+def hex_print(fp: Column) -> Column:
+    """The fingerprint's 64 bits as 16 hex digits."""
+    return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
 #: Word fingerprints of the near-copy stage, and orders of their stars' centres.
 SEEDS, CENTRES = (42, 43, 44), 4
 

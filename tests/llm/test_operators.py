@@ -22,6 +22,30 @@ def test_queries_against_sql(spark, name):
     assert_same(queries.queries()[name](spark, SF).toPandas(), queries.oracle_sql()[name], SF)
 
 
+COLUMNS = {
+    "op1": "query_id rank vec_id score",
+    "op2": "doc_id size source_size target taken",
+    "op3": "doc_id n_words n_base first_word last_word base_labels labels score",
+    "op4": "doc_id n_bytes n_removed n_spans kept_sha256",
+    "op5": "doc_id start n_tokens ids_crc32",
+    "op6": "doc_id fingerprint component_id",
+    "op7": "doc_id size text_crc32 law shard slot grown_shard",
+    "op8": "doc_id n_words n_hit n_items items_sha256 contaminated",
+    "op9": "doc_id held_out lang_pred score",
+    "op10": "doc_id start length secret_sha256 score",
+}
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_every_query_runs(spark, name):
+    frame = queries.queries()[name](spark, SMALL).toPandas()
+    assert set(COLUMNS[name.split("_")[0]].split()) <= set(frame.columns)
+    if name.startswith("op6"):
+        assert frame.fingerprint.str.fullmatch("[0-9a-f]{16}").all()
+    if name.startswith(("op2", "op3", "op4", "op5", "op6", "op7", "op8", "op9")):
+        assert len(frame) == 200
+
+
 # --- 1 ----------------------------------------------------------------------------------------------------
 
 def _vectors(spark, rows):
