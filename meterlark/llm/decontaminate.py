@@ -181,9 +181,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows of ``docs``, all columns, that hold no window of any item."""
-    found = materialise(contamination(docs, items, window).select(F.col("d").alias("_d"), F.col("h").alias("_h")), "contaminated")
-    keyed = docs.withColumns({"_d": F.coalesce("doc_id", F.expr("-9223372036854775807L")), "_h": F.xxhash64("text")})
-    return keyed.join(found, ["_d", "_h"], "left_anti").drop("_d", "_h")
+    found = materialise(contamination(docs, items, window).select(F.col("d").alias("__clean_d"), F.col("h").alias("__clean_h")), "contaminated")
+    keyed = docs.withColumns({"__clean_d": F.coalesce("doc_id", F.expr("-9223372036854775807L")), "__clean_h": F.xxhash64("text")})
+    return keyed.join(found, ["__clean_d", "__clean_h"], "left_anti").drop("__clean_d", "__clean_h")
 
 
 ORACLE_SQL = r"""
