@@ -199,7 +199,7 @@ def suffix_array(snippets: np.ndarray, depth: int, held: int = 256 << 20) -> tup
     if len(text) == 1:
         return np.zeros(0, np.int64), np.zeros(0, np.uint8)
     small, eight = _types(text), _windows8(text)
-    stars = np.flatnonzero(small & np.r_[False, ~small[:-1]])
+    stars = np.flatnonzero(small & np.r_[False, ~small[:-1]]).astype(np.int32 if len(text) < 1 << 31 else np.int64)
     stars = _sorted_stars(text, eight, stars, depth)
     shared = np.r_[np.uint8(0), common_prefixes(eight, stars[:-1], stars[1:], depth)].astype(np.uint8)
     edges = np.searchsorted(text[stars], np.arange(257))
@@ -231,7 +231,7 @@ def suffix_array(snippets: np.ndarray, depth: int, held: int = 256 << 20) -> tup
                 down.append(run)
                 pass_s.feed(run[0], run[1] if last is not None else np.r_[np.uint8(0), run[1][1:]])
                 last = run[0][-1]
-            up_l = np.concatenate([r[0] for r in large[c]]) if large[c] else np.zeros(0, np.int64)
+            up_l = np.concatenate([r[0] for r in large[c]]) if large[c] else np.zeros(0, stars.dtype)
             lcp_l = np.concatenate([r[1] for r in large[c]]) if large[c] else np.zeros(0, np.uint8)
             between = pair(up_l[-1], last)[0] if len(up_l) and last is not None else np.uint8(0)
             if len(up_l):

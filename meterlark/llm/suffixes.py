@@ -43,6 +43,8 @@ from meterlark.llm.induced import BREAK, SHIFT, suffix_array
 LENGTH, GRAM = 100, 20
 #: Bytes of text that are hashed at once; longer texts are cut, overlapping by a window.
 BATCH = 2 << 20
+#: Shards of snippets to a bucket of anchors.
+SPLIT = 4
 #: Bytes of text that are packed at once.
 GATHERED = 24 << 20
 ANCHORS, TEXT, REPEATED, SHARED = 0, 1, 2, 3
@@ -201,15 +203,11 @@ def _unpack_texts(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return ids, rows, lens, np.frombuffer(body, np.uint8)
 
 
-_hashers: dict = {}
-
-
 def _hash_texts(n: int, length: int, gram: int):
     """Step 1 in a task: texts to snippets by anchor, repeated runs and compressed texts by document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _hashers.setdefault(0, None) or Hasher(BATCH + 4 * LENGTH)
-        _hashers[0] = hasher
+        hasher = Hasher(BATCH + 4 * LENGTH)
         for batch in gathered(batches, GATHERED):
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             rows = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -273,7 +271,7 @@ def _meet(n: int, length: int):
             several = np.flatnonzero(np.r_[False, g[kept][1:] == g[kept][:-1]] | np.r_[g[kept][1:] == g[kept][:-1], False]) if len(kept) > 1 else []
             if len(several):
                 own = kept[several]
-                out += _deal(SHARED, _share(rows[own], n), n, [rows[own], ids[own], start[own], windows[own], (bucket + n * (g[own] // np.uint64(n) % np.uint64(2))).astype(np.uint32)])
+                out += _deal(SHARED, _share(rows[own], n), n, [rows[own], ids[own], start[own], windows[own], (bucket + n * (g[own] // np.uint64(n) % np.uint64(SPLIT))).astype(np.uint32)])
             if out:
                 yield _frame(out)
 
@@ -333,15 +331,15 @@ def repeated_windows(ids: np.ndarray, rows: np.ndarray, start: np.ndarray, windo
     places = _stretches(np.cumsum(size + 1) - size - 1, size)
     text[places] = data + np.uint8(SHIFT)
     suffixes, common = suffix_array(text, length)
-    # the snippet and the offset of each suffix; only starts of windows count
+    # suffixes with another beside them; of those, starts of windows in groups of two and more
+    group = np.cumsum(common < length, dtype=np.int32)
+    some = np.flatnonzero(np.bincount(group)[group] > 1)
+    suffixes, group = suffixes[some], group[some]
     begin = np.cumsum(size + 1) - size - 1
     snippet = np.searchsorted(begin, suffixes, "right") - 1
     offset = suffixes - begin[snippet]
-    group = np.cumsum(common < length)
     real = np.flatnonzero(offset < windows[snippet])
-    snippet, offset, group = snippet[real], offset[real], group[real]
-    size = np.bincount(group)
-    real = np.flatnonzero(size[group] > 1)
+    real = real[np.bincount(group[real], minlength=1)[group[real]] > 1] if len(real) else real
     snippet, offset, group = snippet[real], offset[real], group[real]
     place = start[snippet].astype(np.int64) + offset
     by = np.lexsort((place, rows[snippet], ids[snippet], group))
