@@ -60,6 +60,15 @@ def materialise_dealt(df: DataFrame, name: str, column: str, n: int) -> str:
     return table
 
 
+#: Most rows (some tens of bytes each) of a side that is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def counted_side(table: DataFrame) -> DataFrame:
+    """A written table as the side of a join: broadcast if its counted rows allow it, else shuffled."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of ``materialise`` that no later plan reads."""
     for table in tables:

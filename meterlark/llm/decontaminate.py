@@ -8,7 +8,7 @@ them on (document, position); the few candidates left must then be found in all
 Windows with a term that has no posting are dropped before any list is read.
 
 Lists are read where they were written: the test set's terms and windows, and the ids of documents
-with candidates, are broadcast after a count, up to ``BROADCAST_ROWS`` rows; beyond it the same joins
+with candidates, are broadcast after a count, up to ``common.BROADCAST_ROWS`` rows; beyond it the same joins
 shuffle. Documents are named by (doc_id, hash of
 the text), so texts are neither shuffled nor grouped; a hot term only appears in a list that is
 intersected if it is rarest in a window.
@@ -24,11 +24,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import alnum_words, materialise
+from meterlark.llm.common import alnum_words, counted_side, materialise
 
 WINDOW = 10
-#: Most rows (some tens of bytes each) of a side that is broadcast.
-BROADCAST_ROWS = 1_000_000
 _COUNTED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -41,11 +39,6 @@ def _named(docs: DataFrame) -> DataFrame:
     )
 
 
-def _side(table: DataFrame) -> DataFrame:
-    """A written table as the side of a join: broadcast if its counted rows allow it."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def windows_of(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Distinct windows (win, words) of the items (item_id, text), and which items (item_id, win) have them."""
     words = items.select("item_id", alnum_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
@@ -65,7 +58,7 @@ def vocabulary_of(windows: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Postings (d, h, pos, tid) of the vocabulary's terms, each document's together."""
     tokens = _named(docs).select("d", "h", F.posexplode(alnum_words(F.col("text"))).alias("pos", "term"))
-    return materialise(tokens.join(_side(vocabulary), "term").select("d", "h", "pos", "tid"), "postings")
+    return materialise(tokens.join(counted_side(vocabulary), "term").select("d", "h", "pos", "tid"), "postings")
 
 
 def _listed(windows: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -89,9 +82,9 @@ def phrase_matches(index: DataFrame, windows: DataFrame, vocabulary: DataFrame)
     )
     second = rated.filter("rank = 2").select("win", F.col("tid").alias("tid2"), F.col("off").alias("off2"))
     first = rated.filter("rank = 1").select("tid", "win", "len", F.col("off").alias("off1")).join(second, "win", "left")
-    first = _side(materialise(first, "rarest"))
+    first = counted_side(materialise(first, "rarest"))
     starts = index.join(first, "tid").withColumn("start", F.col("pos") - F.col("off1")).filter("start >= 0")
-    seconds = _side(materialise(second.select(F.col("tid2").alias("tid")).distinct(), "second"))
+    seconds = counted_side(materialise(second.select(F.col("tid2").alias("tid")).distinct(), "second"))
     lists = index.join(seconds, "tid", "left_semi").select("d", "h", F.col("pos").alias("at"), F.col("tid").alias("tid2"))
     alone = starts.filter("tid2 is null").select("d", "h", "win", "len", "start")
     both = (
@@ -102,7 +95,7 @@ def phrase_matches(index: DataFrame, windows: DataFrame, vocabulary: DataFrame)
     left = materialise(both.select("d", "h", "win", "len", "start").unionByName(alone).distinct(), "starts")
     rest = rated.filter("rank > 2").select("win", "tid", "off")
     asked = left.join(rest, "win").select("d", "h", "win", "len", "start", (F.col("start") + F.col("off")).alias("pos"), "tid")
-    some = _side(materialise(left.select("d", "h").distinct(), "candidates"))
+    some = counted_side(materialise(left.select("d", "h").distinct(), "candidates"))
     near = index.join(some, ["d", "h"], "left_semi")
     complete = (
         asked.join(near, ["d", "h", "pos", "tid"], "left_semi")
@@ -183,7 +176,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     """Rows of ``docs``, all columns, that hold no window of any item."""
     found = materialise(contamination(docs, items, window).select(F.col("d").alias("__clean_d"), F.col("h").alias("__clean_h")), "contaminated")
     keyed = docs.withColumns({"__clean_d": F.coalesce("doc_id", F.expr("-9223372036854775807L")), "__clean_h": F.xxhash64("text")})
-    return keyed.join(found, ["__clean_d", "__clean_h"], "left_anti").drop("__clean_d", "__clean_h")
+    return keyed.join(counted_side(found), ["__clean_d", "__clean_h"], "left_anti").drop("__clean_d", "__clean_h")
 
 
 ORACLE_SQL = r"""
