@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
+import threading
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +96,39 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+_worker = {"used": 0.0, "trimmed": True, "thread": None, "forget": []}
+#: Seconds without a batch after which a Python worker gives its free memory back.
+IDLE_S = 2.0
+
+
+def used_worker(forget: Callable[[], None] | None = None) -> None:
+    """Called in Python workers: gives free memory back once the worker has been idle for ``IDLE_S``.
+
+    Workers outlive their stage, and what they keep is missing in the next. ``forget`` is called first.
+    """
+
+    def watch() -> None:
+        while True:
+            time.sleep(IDLE_S / 2)
+            if not _worker["trimmed"] and time.monotonic() - _worker["used"] > IDLE_S:
+                _worker["trimmed"] = True
+                for f in _worker["forget"]:
+                    f()
+                gc.collect()
+                if "pyarrow" in sys.modules:
+                    sys.modules["pyarrow"].default_memory_pool().release_unused()
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+                if trim is not None:
+                    trim(0)
+
+    _worker["used"], _worker["trimmed"] = time.monotonic(), False
+    if forget is not None and forget not in _worker["forget"]:
+        _worker["forget"].append(forget)
+    if _worker["thread"] is None:
+        _worker["thread"] = threading.Thread(target=watch, daemon=True)
+        _worker["thread"].start()
+
+
 def gathered(batches: Iterator, size: int) -> Iterator:
     """Arrow batches put together until they hold about ``size`` bytes."""
     import pyarrow as pa

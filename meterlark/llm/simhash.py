@@ -27,11 +27,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import SPACE_CLASS, UPPER, bound_batches, lower_ascii, materialise
+from meterlark.llm.common import SPACE_CLASS, UPPER, bound_batches, counted_side, lower_ascii, materialise, used_worker
 from meterlark.llm.components import connected_components
 
 BITS = 64
-#: Variants that a task handles at once; more are subdivided by another prefix bit.
+#: Variants of a prefix that a task owns, about: repeated links inside it don't leave the task.
+PREFIX_VARIANTS = 8_000_000
+#: Variants that a task holds at once; more are subdivided by another prefix bit.
 TASK_VARIANTS = 1_000_000
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
@@ -89,6 +91,14 @@ def _ones(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
+def _shuffled(prints: np.ndarray, turn: int) -> np.ndarray:
+    """Keys that put fingerprints in an order of their own for each ``turn``; 0 is their own order."""
+    if not turn:
+        return prints
+    mixed = (prints ^ np.uint64(turn * 0xD1B54A32D192ED03 % (1 << 64))) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed ^ mixed >> np.uint64(29)
+
+
 def _distinct(u: np.ndarray, v: np.ndarray, radius: int) -> np.ndarray:
     """Distinct pairs, each verified to lie within ``radius``."""
     by = np.lexsort((v, u))
@@ -98,11 +108,12 @@ def _distinct(u: np.ndarray, v: np.ndarray, radius: int) -> np.ndarray:
 
 
 def links_of_prefix(
-    prints: np.ndarray, prefix: int, bits: int, half: int, limit: int = TASK_VARIANTS, centres: int = 1
+    prints: np.ndarray, prefix: int, bits: int, half: int, limit: int = TASK_VARIANTS, turn: int = 0, chains: bool = False
 ) -> np.ndarray:
     """Star links (u, v) among fingerprints that share a variant starting with ``prefix``.
 
-    A star's centre is its run's least fingerprint, in one of ``centres`` orders by the variant.
+    A star's centre is its run's least fingerprint, in an order of its own for each ``turn``. With
+    ``chains`` the run's members are also linked in that order.
     """
     shift = np.uint64(BITS - bits)
     differ = _ones((prints >> shift) ^ np.uint64(prefix)) if bits else np.zeros(len(prints), np.uint8)
@@ -112,7 +123,7 @@ def links_of_prefix(
     rest = BITS - bits
     ball = [sum(math.comb(rest, k) for k in range(half - j + 1)) for j in range(half + 1)]
     if sum(ball[j] * int((differ == j).sum()) for j in range(half + 1)) > limit and rest > 8:
-        both = np.concatenate([links_of_prefix(prints, prefix << 1 | bit, bits + 1, half, limit, centres) for bit in (0, 1)])
+        both = np.concatenate([links_of_prefix(prints, prefix << 1 | bit, bits + 1, half, limit, turn, chains) for bit in (0, 1)])
         return _distinct(both[:, 0], both[:, 1], 2 * half)
     low = (np.uint64(1) << shift) - np.uint64(1) if rest < BITS else ~np.uint64(0)
     variants, owners = [], []
@@ -136,24 +147,58 @@ def links_of_prefix(
     at = np.minimum(np.searchsorted(shared, every[some]), len(shared) - 1)
     exact = shared[at] == every[some]
     run, who = at[exact], prints[owner[some[exact]]]
-    order = who
-    if centres > 1:
-        turn = spread(shared[run]) % np.uint64(centres) + np.uint64(1)
-        order = (who ^ turn * np.uint64(0xD1B54A32D192ED03)) * np.uint64(0x9E3779B97F4A7C15)
-        order ^= order >> np.uint64(29)
-    by = np.lexsort((order, run))
+    by = np.lexsort((_shuffled(who, turn), run))
     run, who = run[by], who[by]
     first = np.r_[True, run[1:] != run[:-1]]
     least = who[np.flatnonzero(first)[np.cumsum(first) - 1]]
+    if chains:
+        near = np.flatnonzero(~first[1:])
+        who, least = np.concatenate([who, who[near]]), np.concatenate([least, who[near + 1]])
     who, least = np.maximum(who, least), np.minimum(who, least)
-    del run, first, every, owner
+    del run, every, owner
     return _distinct(who[who != least], least[who != least], 2 * half)
 
 
-def near_links(prints: DataFrame, radius: int = 4, bits: int | None = None, centres: int = 1) -> DataFrame:
+def forest(links: np.ndarray, turn: int = 0) -> np.ndarray:
+    """One link from each end to its component's first fingerprint: as few links as keep what is connected."""
+    if not len(links):
+        return links
+    nodes, ends = np.unique(links, return_inverse=True)
+    place = np.empty(len(nodes), np.int64)
+    place[np.argsort(_shuffled(nodes, turn), kind="stable")] = np.arange(len(nodes))
+    u, v = place[ends.reshape(links.shape)].T
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        least = np.minimum(label[u], label[v])
+        np.minimum.at(label, u, least)
+        np.minimum.at(label, v, least)
+        label = label[label]
+        if (label == before).all():
+            break
+    by_place = np.empty(len(nodes), np.uint64)
+    by_place[place] = nodes
+    a, b = by_place, by_place[label]
+    return np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)[a != b]
+
+
+def nearest(links: np.ndarray) -> np.ndarray:
+    """Each end's link to the closest fingerprint it is linked with."""
+    if not len(links):
+        return links
+    a, b = np.concatenate([links, links[:, ::-1]]).T
+    by = np.lexsort((b, _ones(a ^ b), a))
+    a, b = a[by], b[by]
+    first = np.r_[True, a[1:] != a[:-1]]
+    return np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1)[first]
+
+
+def near_links(prints: DataFrame, radius: int = 4, bits: int | None = None, turn: int = 0, closest: bool = False) -> DataFrame:
     """Links (u, v) between distinct fingerprints in column ``fp`` within ``radius`` bits.
 
-    The links span every component; pairs inside a run of one variant are implied by its star.
+    The links span every component; pairs inside a run of one variant are implied by its star, and
+    what a task has linked leaves it as a forest. With ``closest`` each fingerprint's closest link
+    comes along.
     """
     if radius % 2:
         raise ValueError("the radius must be even")
@@ -161,7 +206,7 @@ def near_links(prints: DataFrame, radius: int = 4, bits: int | None = None, cent
     if bits is None:
         n = max(1, prints.count())
         ball = sum(math.comb(BITS, k) for k in range(half + 1))
-        bits = min(24, max(5, math.ceil(math.log2(max(2, n * ball / TASK_VARIANTS)))))
+        bits = min(24, max(5, math.ceil(math.log2(max(2, n * ball / PREFIX_VARIANTS)))))
     masks = [int(m) for m in _flips(bits, min(half, 2))]
     sent = prints.select(
         "fp",
@@ -174,8 +219,12 @@ def near_links(prints: DataFrame, radius: int = 4, bits: int | None = None, cent
     )
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        used_worker()
         own = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        found = links_of_prefix(np.unique(own), int(key[0]), bits, half, centres=centres)
+        links = links_of_prefix(np.unique(own), int(key[0]), bits, half, turn=turn, chains=closest)
+        found = forest(links, turn)
+        if closest:
+            found = np.unique(np.concatenate([found, nearest(links)]), axis=0)
         return pd.DataFrame({"u": found[:, 0].view(np.int64), "v": found[:, 1].view(np.int64)})
 
     return sent.groupBy("prefix").applyInPandas(meet, "u long, v long")
@@ -201,8 +250,8 @@ def hex_print(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-#: Word fingerprints of the near-copy stage, and orders of their stars' centres.
-SEEDS, CENTRES = (42, 43, 44), 4
+#: Seeds of the word fingerprints of the near-copy stage; each also has its own order of stars' centres.
+SEEDS = (42, 43, 44, 45)
 
 
 def word_fingerprints(text: str | None, seeds: tuple = SEEDS) -> list[int]:
@@ -242,6 +291,7 @@ def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     @F.pandas_udf(", ".join(f"{n} long" for n in names))
     def prints_of(texts: pd.Series) -> pd.DataFrame:
+        used_worker()
         found = np.array([word_fingerprints(x) for x in texts], np.uint64).reshape(-1, len(names))
         return pd.DataFrame(found.view(np.int64), columns=names)
 
@@ -253,11 +303,11 @@ def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     )
     texts = rows.dropDuplicates(["text_key"])
     pairs = None
-    for name in names:
+    for turn, name in enumerate(names):
         prints = texts.groupBy(F.col(name).alias("fp")).agg(F.min("text_key").alias("first"))
         prints = materialise(prints, "prints")
         star = texts.join(prints, texts[name] == prints.fp).select(F.col("text_key").alias("u"), F.col("first").alias("v"))
-        near = materialise(near_links(prints.select("fp"), radius, centres=CENTRES), "near")
+        near = materialise(near_links(prints.select("fp"), radius, turn=turn, closest=True).distinct(), "near")
         named = near.join(prints.select(F.col("fp").alias("u"), F.col("first").alias("_a")), "u").join(
             prints.select(F.col("fp").alias("v"), F.col("first").alias("_b")), "v"
         )
@@ -265,6 +315,7 @@ def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         pairs = links if pairs is None else pairs.unionByName(links)
     pairs = materialise(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
     asked = pairs.select(F.col("u").alias("text_key")).unionByName(pairs.select(F.col("v").alias("text_key"))).distinct()
+    asked = counted_side(materialise(asked, "asked"))
     words, hashed = _shingles(F.col("text"), shingle)
     sets = materialise(
         docs.select(F.xxhash64("text").alias("text_key"), "text")
@@ -294,9 +345,9 @@ def keep_one_of_near_copies(docs: DataFrame, shingle: int = 5, similarity: float
     named = by_text.join(parts, by_text.text_key == parts.node, "left")
     stay = named.groupBy(F.coalesce("component", "text_key").alias("part")).agg(F.min("first_row").alias("r"))
     least = F.lit(-(1 << 63))
-    stay = materialise(stay.select(F.coalesce("r.doc_id", least).alias("_id"), F.col("r.text_key").alias("_key")), "stay")
-    keyed = docs.withColumns({"_id": F.coalesce("doc_id", least), "_key": F.xxhash64("text")})
-    left = keyed.join(stay, ["_id", "_key"], "left_semi")
+    stay = materialise(stay.select(F.coalesce("r.doc_id", least).alias("__near_id"), F.col("r.text_key").alias("__near_key")), "stay")
+    keyed = docs.withColumns({"__near_id": F.coalesce("doc_id", least), "__near_key": F.xxhash64("text")})
+    left = keyed.join(counted_side(stay), ["__near_id", "__near_key"], "left_semi")
     if not rows.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
-        left = left.dropDuplicates(["_id", "_key"])
-    return left.drop("_id", "_key")
+        left = left.dropDuplicates(["__near_id", "__near_key"])
+    return left.drop("__near_id", "__near_key")
