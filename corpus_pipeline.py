@@ -34,8 +34,11 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files' documents: doc_id, start, n_tokens, ids_crc32."""
-    return tokens.token_digest(docs, tokenizer_path(), end_id=2)
+    """The token files' documents: doc_id, start, n_tokens, ids_crc32.
+
+    With less memory for known pieces than by default, as executors still hold what other stages left.
+    """
+    return tokens.token_digest(docs, tokenizer_path(), end_id=2, pieces=100_000, batch=2 << 20)
 
 
 STAGES = [

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import bound_batches
+from meterlark.llm.common import bound_batches, used_worker
 
 SAMPLE_ROWS = 2_000
 MAX_LANGUAGES = 64
@@ -142,6 +142,7 @@ def predicted(docs: DataFrame, model: LanguageFilters) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:
+        used_worker()
         return pd.DataFrame([held.value.predict(x) for x in texts], columns=["lang_pred", "score"])
 
     return of(F.col("text"))

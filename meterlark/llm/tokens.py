@@ -27,12 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import bound_batches, gathered, partitions, shared_dir
+from meterlark.llm.common import bound_batches, gathered, partitions, shared_dir, used_worker
 from meterlark.llm.wavelet import WaveletMatrix
 
 BLOCK_IDS = 1 << 20
 #: Pieces, and parts of pieces, that a worker remembers; longer pieces than this many characters are not remembered.
-CACHE_PIECES, CACHE_PARTS, CACHE_CHARS = 300_000, 300_000, 64
+CACHE_PIECES, CACHE_CHARS = 300_000, 64
 #: Bytes of text that are split at once.
 BATCH_BYTES = 16 << 20
 
@@ -55,14 +55,14 @@ class PieceEncoder:
     #: A Latin word, any case, and the marks that may follow it.
     LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, pieces: int = CACHE_PIECES):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.end_id = self.tokenizer.model, end_id
+        self.model, self.end_id, self.most = self.tokenizer.model, end_id, pieces
         # What the tokenizer makes of each Latin letter; letters that it doesn't map one by one aren't listed.
         letters = [chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7)]
         self.letters = {ord(c): self._steps(c)[0] for c in letters}
@@ -82,7 +82,7 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.place = {"": 0}
         self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts, self.lens = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.starts, self.lens = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.size, self.known = 0, 1
 
     @staticmethod
@@ -112,11 +112,11 @@ class PieceEncoder:
 
     def _places(self, pieces: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Where the ids of each piece are; new ones that occur again are remembered."""
-        if self.known > CACHE_PIECES:
+        if self.known > self.most:
             self._forget()
-        if len(self.parts) > CACHE_PARTS:
+        if len(self.parts) > self.most:
             self.parts.clear()
-        out = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int64, len(pieces))
+        out = np.fromiter(map(self.place.get, pieces, repeat(-1)), np.int32, len(pieces))
         lack = np.flatnonzero(out < 0)
         # what occurs once here goes behind the rest, where the next batch overwrites it
         lack = lack[np.argsort(counts[lack] < 2, kind="stable")]
@@ -146,20 +146,23 @@ class PieceEncoder:
         pieces = named.dictionary.to_numpy(zero_copy_only=False)
         at = self._places(pieces, np.bincount(codes, minlength=len(pieces)))[codes]
         lens = self.lens[at]
-        upto = np.concatenate([[0], np.cumsum(lens)])
-        ids = self.flat[np.repeat(self.starts[at] - upto[:-1], lens) + np.arange(int(upto[-1]))]
-        stops = upto[ends]
+        upto = np.concatenate([[0], np.cumsum(lens, dtype=np.int64)])
+        kind = np.int32 if upto[-1] + self.size < 1 << 31 else np.int64
+        place = np.repeat((self.starts[at] - upto[:-1]).astype(kind), lens)
+        place += np.arange(len(place), dtype=kind)
+        ids, stops = self.flat[place], upto[ends]
         return np.insert(ids, stops[1:], np.uint32(self.end_id)), np.diff(stops) + 1
 
 
 _encoders: dict = {}
 
 
-def _encoder(path: str, end_id: int) -> PieceEncoder:
-    """This worker's encoder; it serves all tasks that the worker runs."""
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = PieceEncoder(path, end_id)
-    return _encoders[path, end_id]
+def _encoder(path: str, end_id: int, pieces: int) -> PieceEncoder:
+    """This worker's encoder; it serves all tasks that follow closely on one another."""
+    key = path, end_id, pieces
+    if key not in _encoders:
+        _encoders[key] = PieceEncoder(path, end_id, pieces)
+    return _encoders[key]
 
 
 def _pack_docs(ids: list, lens: np.ndarray) -> bytes:
@@ -180,13 +183,13 @@ def _unpack_docs(data: bytes) -> tuple[list, np.ndarray]:
     return [i if k else None for i, k in zip(ids, known.tolist())], np.frombuffer(data, "<i8", n, at + 8 * n)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pieces: int = CACHE_PIECES, batch: int = BATCH_BYTES) -> None:
     """Write the ids of all texts of ``docs`` (doc_id, text), in ascending doc_id order, to ``path``."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, base = TaskContext.get().partitionId(), _encoder(tokenizer, end_id), 0
+        part, encoder, base = TaskContext.get().partitionId(), _encoder(tokenizer, end_id, pieces), 0
         docs_in, lens_in, ids_in, held = [], [], [], 0
 
         def take(of: list, lens: np.ndarray, ids: np.ndarray) -> None:
@@ -202,13 +205,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             docs_in, lens_in, ids_in, held = [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, FILE_TYPES)], FILE_NAMES)
 
-        for batch in gathered(batches, BATCH_BYTES):
-            doc_ids = batch.column(0).to_pylist()
+        for arrow in gathered(batches, batch):
+            doc_ids = arrow.column(0).to_pylist()
             # texts of up to about BATCH_BYTES at once
-            sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) // BATCH_BYTES
+            sizes = np.cumsum(pc.binary_length(arrow.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)) // batch
             cuts = np.unique(np.r_[0, np.flatnonzero(np.diff(sizes)) + 1, len(doc_ids)])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                ids, lens = encoder.encode(batch.column(1).slice(a, b - a))
+                ids, lens = encoder.encode(arrow.column(1).slice(a, b - a))
                 upto, first = np.concatenate([[0], np.cumsum(lens)]), 0
                 for k in range(b - a):
                     if held and held + lens[k] > BLOCK_IDS:
@@ -219,6 +222,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 take(doc_ids[a + first : b], lens[first:], ids[upto[first] :])
         if docs_in:
             yield block()
+        del encoder
+        used_worker(_encoders.clear)
 
     n = partitions(docs.sparkSession)
     bound_batches(docs.sparkSession)
@@ -266,11 +271,13 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def token_digest(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:
+def token_digest(
+    docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, pieces: int = CACHE_PIECES, batch: int = BATCH_BYTES
+) -> DataFrame:
     """Write the token files (below the shared folder unless ``path`` is given) and read them back."""
     import uuid
 
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/meterlark/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex[:12]}"
-    write_token_files(docs, path, tokenizer, end_id)
+    write_token_files(docs, path, tokenizer, end_id, pieces, batch)
     return read_token_files(spark, path)
