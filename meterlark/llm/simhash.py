@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import SPACE_CLASS, UPPER, bound_batches, counted_side, lower_ascii, materialise, used_worker
+from meterlark.llm.common import UPPER, bound_batches, counted_side, discard, materialise, partitions, used_worker
 from meterlark.llm.components import connected_components
 
 BITS = 64
@@ -250,96 +250,257 @@ def hex_print(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-#: Seeds of the word fingerprints of the near-copy stage; each also has its own order of stars' centres.
-SEEDS = (42, 43, 44, 45)
+#: Texts whose shingles are counted to tell common ones from rare ones, about, and how many are kept.
+SAMPLE_TEXTS, COMMON = 8_000, 200_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def word_fingerprints(text: str | None, seeds: tuple = SEEDS) -> list[int]:
-    """SimHashes over single words, each weighing the root of its count."""
-    from collections import Counter
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
 
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The distinct 64-bit hashes of a text's k-word shingles, sorted (fewer words: one of all)."""
     import xxhash
 
-    counts = Counter((text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split())
-    if not counts:
-        return [0] * len(seeds)
-    weight = np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)))
-    out = []
-    for seed in seeds:
-        digests = np.fromiter([xxhash.xxh64_intdigest(w, seed) for w in counts], np.uint64, len(counts))
-        bits = np.unpackbits(digests.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        out.append(int(np.packbits(weight @ bits > weight.sum() / 2, bitorder="little").view(np.uint64)[0]))
-    return out
+    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    hashed = xxhash.xxh64_intdigest
+    digests = np.fromiter(map(hashed, words), np.uint64, len(words))
+    n, k = max(1, len(words) - k + 1), min(k, len(words))
+    out = np.full(n, k, np.uint64)
+    for j in range(k):
+        out = _mixed(out * _ODD + digests[j : j + n])
+    return np.unique(out)
 
 
-def _shingles(text: Column, k: int) -> tuple[Column, Column]:
-    """The words, and over their column ``_w`` the distinct hashes of k-word shingles (fewer: one of all)."""
-    words = F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SPACE_CLASS + "+"), "")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - k + 1))
-    return words, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("_w", i, k))))
+def prefix_of(shingles: np.ndarray, similarity: float, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first |x| - ceil(similarity * |x|) + 1 shingles, those outside ``common`` first, then by ``rank``.
 
+    Any two sets that are ``similarity`` alike (Jaccard) have a shingle of these in common, whatever
+    the order is, as long as it is one for all texts.
+    """
+    most = len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1
+    if not len(common):
+        return shingles[:most]
+    at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+    late = np.where(common[at] == shingles, rank[at], -1)
+    return shingles[np.lexsort((shingles, late))[:most]]
+
+
+def parity_of(shingles: np.ndarray) -> bytes:
+    """Bits that each shingle flips by its hash, about four bits a shingle, a power of two of them."""
+    bits = 1 << min(20, max(8, (2 * len(shingles)).bit_length()))
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differ_at_least(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of shingles that only one of two sets has, from their parities."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of three sampled texts or more, sorted, and their ranks by count. They only set an order."""
+    share = min(1.0, SAMPLE_TEXTS / max(1, docs.count()))
+    drawn = docs.filter(F.pmod(F.xxhash64("text", F.lit(5)), F.lit(1 << 40)) < int(share * (1 << 40))).select("text")
+
+    def count(batches):
+        for pdf in batches:
+            used_worker()
+            sets = [shingle_set(x, k) for x in pdf["text"].drop_duplicates()]
+            values, n = np.unique(np.concatenate(sets), return_counts=True)
+            yield pd.DataFrame({"s": values.view(np.int64), "n": n})
+
+    counted = drawn.mapInPandas(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter("n > 2")
+    found = counted.orderBy(F.desc("n"), "s").limit(COMMON).toPandas()
+    values = found["s"].to_numpy(np.int64).view(np.uint64)
+    by = np.argsort(values)
+    return values[by], len(by) - by
+
+
+#: Each star of texts that share a shingle has this many centres, each least in an order of its own.
+CENTRES = 3
+#: Texts of a run that are compared with all others at once.
+BLOCK = 1_024
+
+
+def _runs(batches) -> pd.DataFrame | None:
+    """A task's rows, in order of ``s`` and ``text_key``, repeats dropped, runs of one left out."""
+    import pyarrow as pa
+
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return None
+    rows = pa.Table.from_batches(held)
+    names = rows.column_names
+    rows = {n: rows.column(n).to_numpy() for n in names}
+    by = np.lexsort((rows["text_key"], rows["s"]))
+    rows = {n: x[by] for n, x in rows.items()}
+    s, key = rows["s"], rows["text_key"]
+    new = np.r_[True, (s[1:] != s[:-1]) | (key[1:] != key[:-1])]
+    rows = {n: x[new] for n, x in rows.items()}
+    same = rows["s"][1:] == rows["s"][:-1]
+    some = np.r_[False, same] | np.r_[same, False]
+    return pd.DataFrame({n: x[some] for n, x in rows.items()})
+
+
+def stars_of_runs(batches):
+    """Rows whose shingle is shared, with the run's centres c0, c1, ..."""
+    import pyarrow as pa
+
+    rows = _runs(batches)
+    used_worker()
+    if rows is None or not len(rows):
+        return
+    s, key = rows["s"].to_numpy(), rows["text_key"].to_numpy(np.int64).view(np.uint64)
+    first = np.r_[True, s[1:] != s[:-1]]
+    run = np.cumsum(first) - 1
+    starts = np.flatnonzero(first)
+    for turn in range(CENTRES):
+        by = np.lexsort((_shuffled(key, turn + 1), run))
+        rows[f"c{turn}"] = key[by][starts][run].view(np.int64)
+    yield from pa.Table.from_pandas(rows, preserve_index=False).to_batches(65536)
+
+
+def _pairs_of_runs(similarity: float):
+    def pairs(batches):
+        """All pairs of texts of one shingle in different components that can be ``similarity`` alike."""
+        import pyarrow as pa
+
+        rows = _runs(batches)
+        used_worker()
+        if rows is None or not len(rows):
+            return
+        s, key, part, place = (rows[n].to_numpy() for n in ("s", "text_key", "part", "place"))
+        n, at = (place >> 32).astype(np.float64), (place & 0xFFFFFFFF).astype(np.float64)
+        starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        found, size = [], 0
+
+        def out():
+            every = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(every[:, 0].copy()), pa.array(every[:, 1].copy())], ["u", "v"])
+
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(s)]):
+            if (part[a:b] == part[a]).all():
+                continue
+            for c in range(a, b, BLOCK):
+                x, y = np.arange(c, min(b, c + BLOCK))[:, None], np.arange(c, b)[None, :]
+                need = similarity / (1 + similarity) * (n[x] + n[y]) - 1e-6
+                # Of the shared shingles the first in order is this one, or the pair meets at that one too.
+                can = (x < y) & (part[x] != part[y]) & (np.minimum(n[x] - at[x], n[y] - at[y]) >= need)
+                i, j = np.nonzero(can)
+                if len(i):
+                    u, v = key[c + i], key[c + j]
+                    found.append(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1))
+                    size += len(i)
+            if size > 500_000:
+                yield out()
+                found, size = [], 0
+        if found:
+            yield out()
+
+    return pairs
+
+
+def alike(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of text keys, a written table, whose sets of shingles are ``similarity`` alike.
+
+    ``sizes`` (text_key, n, parity) rules out pairs whose parities prove that they differ too much; the
+    sets themselves decide on the others.
+    """
 
-def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, text_key) and verified links (u, v) between text keys.
+    @F.pandas_udf("boolean")
+    def can(a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
+        used_worker()
+        return pd.Series([differ_at_least(x, y) <= z for x, y, z in zip(a, b, most)], dtype=bool)
 
-    Five-word shingles are too sensitive for a radius of 4 bits: texts that share 0.8 of them differ in
-    5 to 14 bits. So candidates come from ball hashing of word fingerprints, by three seeds, and a link
-    stands only if the texts' sets of shingles have at least ``similarity`` (Jaccard) in common.
-    """
-    bound_batches(docs.sparkSession)
-    names = [f"f{k}" for k in range(len(SEEDS))]
+    side = lambda key, n, parity: sizes.select(F.col("text_key").alias(key), F.col("n").alias(n), F.col("parity").alias(parity))
+    both = pairs.join(side("u", "n", "a"), "u").join(side("v", "m", "b"), "v")
+    both = both.filter(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
+    most = (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("m")) + 1e-6
+    pairs = materialise(both.filter(can("a", "b", most)).select("u", "v"), "possible")
 
-    @F.pandas_udf(", ".join(f"{n} long" for n in names))
-    def prints_of(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("array<long>")
+    def set_of(texts: pd.Series) -> pd.Series:
         used_worker()
-        found = np.array([word_fingerprints(x) for x in texts], np.uint64).reshape(-1, len(names))
-        return pd.DataFrame(found.view(np.int64), columns=names)
-
-    rows = materialise(
-        docs.select("doc_id", F.xxhash64("text").alias("text_key"), prints_of(F.coalesce("text", F.lit(""))).alias("_f")).select(
-            "doc_id", "text_key", *[F.col(f"_f.{n}").alias(n) for n in names]
-        ),
-        "word-prints",
-    )
-    texts = rows.dropDuplicates(["text_key"])
-    pairs = None
-    for turn, name in enumerate(names):
-        prints = texts.groupBy(F.col(name).alias("fp")).agg(F.min("text_key").alias("first"))
-        prints = materialise(prints, "prints")
-        star = texts.join(prints, texts[name] == prints.fp).select(F.col("text_key").alias("u"), F.col("first").alias("v"))
-        near = materialise(near_links(prints.select("fp"), radius, turn=turn, closest=True).distinct(), "near")
-        named = near.join(prints.select(F.col("fp").alias("u"), F.col("first").alias("_a")), "u").join(
-            prints.select(F.col("fp").alias("v"), F.col("first").alias("_b")), "v"
-        )
-        links = star.unionByName(named.select(F.col("_a").alias("u"), F.col("_b").alias("v"))).filter("u != v")
-        pairs = links if pairs is None else pairs.unionByName(links)
-    pairs = materialise(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
+        return pd.Series([shingle_set(x, k).view(np.int64) for x in texts])
+
     asked = pairs.select(F.col("u").alias("text_key")).unionByName(pairs.select(F.col("v").alias("text_key"))).distinct()
     asked = counted_side(materialise(asked, "asked"))
-    words, hashed = _shingles(F.col("text"), shingle)
-    sets = materialise(
-        docs.select(F.xxhash64("text").alias("text_key"), "text")
-        .join(asked, "text_key", "left_semi")
-        .select("text_key", words.alias("_w"))
-        .select("text_key", hashed.alias("s"))
-        .dropDuplicates(["text_key"]),
-        "shingles",
-    )
+    texts = docs.select(F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).join(asked, "text_key", "left_semi")
+    sets = materialise(texts.dropDuplicates(["text_key"]).select("text_key", set_of("text").alias("s")), "shingles")
     both = pairs.join(sets.select(F.col("text_key").alias("u"), F.col("s").alias("a")), "u").join(
         sets.select(F.col("text_key").alias("v"), F.col("s").alias("b")), "v"
     )
     common = F.size(F.array_intersect("a", "b"))
-    verified = both.withColumn("n", common).filter(F.col("n") >= similarity * (F.size("a") + F.size("b") - F.col("n")) - 1e-9)
-    return rows.select("doc_id", "text_key"), verified.select("u", "v")
+    kept = both.withColumn("n", common).filter(F.col("n") >= similarity * (F.size("a") + F.size("b") - F.col("n")) - 1e-9)
+    links = materialise(kept.select("u", "v"), "verified")
+    discard(sets)
+    return links
+
 
+def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, text_key) and verified links (u, v) between text keys.
 
-def keep_one_of_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+    The links connect exactly what all pairs of texts with ``similarity`` (Jaccard of the sets of
+    shingles) connect. Two such sets share one of their first shingles in any common order (prefix
+    filter; the rare come first), so texts meet by those. Each run of a shingle is first linked to a few
+    centres and verified; then every pair that meets, is not connected yet and can be alike by its
+    sizes and places is verified too.
+    """
+    bound_batches(docs.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
+
+    @F.pandas_udf("n int, p array<long>, parity binary")
+    def prefix(texts: pd.Series) -> pd.DataFrame:
+        used_worker()
+        sets = [shingle_set(x, shingle) for x in texts]
+        firsts = [prefix_of(x, similarity, *held.value).view(np.int64) for x in sets]
+        return pd.DataFrame({"n": [len(x) for x in sets], "p": firsts, "parity": [parity_of(x) for x in sets]})
+
+    rows = docs.select(
+        "doc_id", F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("row"), prefix(F.coalesce("text", F.lit(""))).alias("_p")
+    )
+    rows = materialise(rows.select("doc_id", "text_key", "row", "_p.*"), "prefixes")
+    copies = rows.groupBy("text_key").agg(F.min("row").alias("_first"), F.count("*").alias("_copies")).filter("_copies > 1")
+    copies = counted_side(materialise(copies.select("text_key", "_first"), "copies"))
+    texts = rows.join(copies, "text_key", "left").filter("_first is null or row = _first")
+    sent = texts.select("text_key", "n", F.posexplode("p").alias("at", "s"))
+    sent = sent.select("text_key", "s", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("place"))
+    centres = [f"c{k}" for k in range(CENTRES)]
+    met = sent.repartition(partitions(docs.sparkSession), "s").mapInArrow(
+        stars_of_runs, "text_key long, s long, place long, " + ", ".join(f"{c} long" for c in centres)
+    )
+    met = materialise(met, "met")
+    asked = counted_side(materialise(met.select("text_key").distinct(), "asked"))
+    sizes = materialise(texts.join(asked, "text_key", "left_semi").select("text_key", "n", "parity"), "sizes")
+    ids = materialise(rows.select("doc_id", "text_key"), "ids")
+    discard(rows)
+    u, v = F.col("text_key"), F.col("_c")
+    pairs = met.select("text_key", *centres).distinct().select("text_key", F.explode(F.array(*centres)).alias("_c")).filter("text_key != _c")
+    pairs = materialise(pairs.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "pairs")
+    links = alike(docs, pairs, sizes, shingle, similarity)
+    parts = counted_side(materialise(connected_components(links), "parts"))
+    named = met.select("text_key", "s", "place").join(parts, met.text_key == parts.node, "left")
+    named = named.select("text_key", "s", "place", F.coalesce("component", "text_key").alias("part"))
+    more = named.repartition(partitions(docs.sparkSession), "s").mapInArrow(_pairs_of_runs(similarity), "u long, v long")
+    more = materialise(more.distinct().join(pairs, ["u", "v"], "left_anti"), "pairs")
+    discard(met)
+    return ids, links.unionByName(alike(docs, more, sizes, shingle, similarity))
+
+
+def keep_one_of_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Rows of ``docs``, all columns, with one document left of each group of near copies.
 
     Groups are components of ``near_copy_links``; equal texts are one. The row with the smallest
     (doc_id, text hash) stays; of exact repeats of it, one.
     """
-    rows, links = near_copy_links(docs, shingle, similarity, radius)
+    rows, links = near_copy_links(docs, shingle, similarity)
     parts = connected_components(materialise(links, "verified"))
     by_text = rows.groupBy("text_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first_row"))
     named = by_text.join(parts, by_text.text_key == parts.node, "left")

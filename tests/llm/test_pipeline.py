@@ -1,3 +1,4 @@
+import random
 import re
 
 import corpus_pipeline
@@ -38,3 +39,48 @@ def test_stages_take_effect(spark):
 def test_run(spark):
     got = corpus_pipeline.run(spark, SMALL)
     assert got.count() > 0 and got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def _stay(rows):
+    """Ids that stay when all pairs of texts with five-word Jaccard of 0.8 are linked."""
+    sets = []
+    for _, text in rows:
+        w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    part = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            n = len(a & b)
+            if part[i] != part[j] and n >= 0.8 * (len(a) + len(b) - n) - 1e-9:
+                part = [part[j] if p == part[i] else p for p in part]
+    return sorted(min(i for (i, _), p in zip(rows, part) if p == q) for q in set(part))
+
+
+def near_copies():
+    """Texts with scattered, appended, trimmed and block edits, and a group that shares a boilerplate."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    draw = lambda n: rng.choices(vocabulary, [1 / (k + 1) for k in range(3000)], k=n)
+    texts = []
+    for n in (40, 90, 300):
+        for share in (0.02, 0.1, 0.18, 0.21, 0.3):
+            for _ in range(4):
+                base, k = draw(n), max(1, int(share * n))
+                at = rng.randrange(n - k)
+                texts += [base, base + draw(k), base[k:], base[:at] + draw(k // 2 + 1) + base[at + k // 2 + 1 :]]
+                scattered = list(base)
+                for i in rng.sample(range(n), max(1, k // 5)):
+                    scattered[i] = "edited"
+                texts.append(scattered)
+    passage = draw(60)
+    texts += [passage + draw(rng.randrange(2, 30)) for _ in range(60)]
+    chain = draw(200)
+    texts += [chain[8 * i :] + draw(8 * i) for i in range(12)]
+    rng.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_near_dedup_against_all_pairs(spark):
+    rows = near_copies()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SMALL).collect()) == _stay(rows)
