@@ -314,6 +314,28 @@ def test_near_copies_keep_one(spark):
     assert simhash.keep_one_of_near_copies(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["scattered", "appended", "trimmed", "block"])
+def test_near_copies_meet_whatever_the_edit(kind):
+    rng, none = np.random.default_rng(7), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    met = []
+    for _ in range(200):
+        n = int(rng.choice([60, 300]))
+        base, new = (rng.zipf(1.3, n) % 5000).tolist(), (rng.zipf(1.3, n) % 5000).tolist()
+        k, at = int(n * rng.uniform(0.02, 0.25)), int(rng.integers(0, n // 2))
+        edited = {"appended": base + new[:k], "trimmed": base[k:], "block": base[:at] + new[: k // 2] + base[at + k // 2 :]}.get(kind)
+        if edited is None:
+            edited = list(base)
+            for i in rng.choice(n, max(1, k // 8), False):
+                edited[i] = "edited"
+        x, y = (simhash.shingle_set(" ".join(map(str, t)), 5) for t in (base, edited))
+        same = len(np.intersect1d(x, y))
+        if same >= 0.8 * (len(x) + len(y) - same):
+            firsts = np.intersect1d(simhash.prefix_of(x, 0.8, *none), simhash.prefix_of(y, 0.8, *none))
+            differ = simhash.differ_at_least(simhash.parity_of(x), simhash.parity_of(y))
+            met.append(len(firsts) > 0 and differ <= len(x) + len(y) - 2 * same)
+    assert len(met) > 50 and all(met)
+
+
 # --- 7 ----------------------------------------------------------------------------------------------------
 
 def test_sharding(spark):
