@@ -9,12 +9,12 @@ decides.
 The filters are learned from labelled rows outside the held-out fold (crc32 of the id as text,
 modulo 5, is 0). About ``SAMPLE_ROWS`` rows of each language, drawn by a hash of the id, are read
 whole; each language keeps its most frequent n-grams up to ``COVER`` of its occurrences, ``MOST``
-at most. At most ``MAX_LANGUAGES`` languages are supported (more is an error), so the model that is
-broadcast has a fixed size.
+at most. Every 64 languages share a slice of the table, so the model that is broadcast has a fixed
+size for each slice.
 
 Defined results: null text and texts without a letter are ``und`` with score 0; a text with letters
 always gets a learned language, by more training rows and then by name if filters tie; without any
-learned language everything is ``und``; null ids count as the empty text in the fold (held out);
+learned language everything is ``und``, and ``keep_identified`` drops only texts without a letter; null ids count as the empty text in the fold (held out);
 repeated rows agree; an empty table gives an empty table; extra columns are not read.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from meterlark.llm.common import bound_batches, used_worker
 
 SAMPLE_ROWS = 2_000
-MAX_LANGUAGES = 64
+SLICE = 64
 COVER, MOST = 0.9, 40_000
 ROWS_LOG2, HASHES = 20, 3
 GRAM = 4
@@ -63,7 +63,7 @@ def has_letter(text: str | None) -> bool:
 @dataclass
 class LanguageFilters:
     languages: list[str]  # the most training rows first
-    table: np.ndarray  # one mask of languages for each row
+    tables: list[np.ndarray]  # of each slice of languages, one mask for each row
     false_rate: np.ndarray
     cover: np.ndarray
 
@@ -71,12 +71,17 @@ class LanguageFilters:
     def learn(cls, found: dict[str, tuple[np.ndarray, float]]) -> LanguageFilters:
         """``found``: each language's n-grams and the share of its occurrences that they cover."""
         kind = np.uint8 if len(found) <= 8 else np.uint64
-        table = np.zeros(1 << ROWS_LOG2, kind)
-        for bit, (values, _) in enumerate(found.values()):
+        tables = [np.zeros(1 << ROWS_LOG2, kind) for _ in range(0, max(1, len(found)), SLICE)]
+        for k, (values, _) in enumerate(found.values()):
             for slot in _slots(values):
-                table[slot] |= kind(1 << bit)
-        fill = np.array([float((table >> kind(b) & kind(1)).mean()) for b in range(len(found))])
-        return cls(list(found), table, fill**HASHES, np.array([max(c, 1e-9) for _, c in found.values()]))
+                tables[k // SLICE][slot] |= kind(1 << k % SLICE)
+        fill = np.array([float((tables[k // SLICE] >> kind(k % SLICE) & kind(1)).mean()) for k in range(len(found))])
+        return cls(list(found), tables, fill**HASHES, np.array([max(c, 1e-9) for _, c in found.values()]))
+
+    @property
+    def table(self) -> np.ndarray:
+        """The first slice."""
+        return self.tables[0]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages or not has_letter(text):
@@ -84,12 +89,13 @@ class LanguageFilters:
         values = grams(text)
         if not len(values):
             return self.languages[0], 0.0
-        mask = np.bitwise_and.reduce([self.table[s] for s in _slots(values)])
+        slots = _slots(values)
+        masks = [np.bitwise_and.reduce([table[s] for s in slots]) for table in self.tables]
         if self.table.dtype == np.uint8:
-            every = np.bincount(mask, minlength=256)
+            every = np.bincount(masks[0], minlength=256)
             hits = np.array([every[np.arange(256) >> b & 1 == 1].sum() for b in range(len(self.languages))])
         else:
-            hits = np.array([int((mask >> np.uint64(b) & np.uint64(1)).sum()) for b in range(len(self.languages))])
+            hits = np.array([int((masks[b // SLICE] >> np.uint64(b % SLICE) & np.uint64(1)).sum()) for b in range(len(self.languages))])
         share = (hits / len(values) - self.false_rate) / (1 - self.false_rate)
         share = np.clip(share / self.cover, 0.0, 1.0)
         best = int(np.argmax(share))
@@ -105,9 +111,7 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageFilters:
     """Filters from the labelled rows of ``docs`` (doc_id, text, lang) outside the held-out fold."""
     bound_batches(docs.sparkSession)
     rows = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return LanguageFilters.learn({})
     rate = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_rows / n)))])
@@ -157,6 +161,9 @@ def identify(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Rows of ``docs``, all columns, whose text has a language."""
-    found = predicted(docs, learn(docs, sample_rows))
+    """Rows of ``docs``, all columns, whose text has a language, or a letter if none was learned."""
+    model = learn(docs, sample_rows)
+    if not model.languages:
+        return docs.filter(F.udf(has_letter, "boolean")("text"))
+    found = predicted(docs, model)
     return docs.filter(found["lang_pred"] != "und")

@@ -413,6 +413,15 @@ def test_bit_sliced_filters_have_no_false_negatives():
         assert (mask >> np.uint64(bit) & np.uint64(1)).all()
 
 
+def test_more_languages_than_a_slice_and_none(spark):
+    rows = [(i, f"word{chr(97 + i % 10)}{chr(97 + i // 10 % 7)} " * 5, f"l{i % 70}") for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs).collect()}
+    assert len(got) == 700 and sum(got[i] == lang for i, _, lang in rows) > 690
+    none = spark.createDataFrame([(1, "clean text", None), (2, "12", None), (3, None, None)], docs.schema)
+    assert [r.doc_id for r in language.keep_identified(none).collect()] == [1]
+
+
 # --- 10 ---------------------------------------------------------------------------------------------------
 
 def test_secret_candidates_and_training(spark):
