@@ -5,15 +5,15 @@ from __future__ import annotations
 import ctypes
 import gc
 import sys
-import tempfile
 import threading
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlark.session import scratch_path
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII white space as the contracts list it: blank and \x09-\x0D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -22,56 +22,65 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 ALNUM_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session names none (tests on one machine) a temporary folder is set.
-    """
-    for read in (spark.conf.get, spark.sparkContext.getConf().get):
-        found = read("spark.checkpoint.dir", None)
-        if found:
-            return found.rstrip("/")
-    made = f"file://{tempfile.mkdtemp(prefix='meterlark-')}"
-    spark.conf.set("spark.checkpoint.dir", made)
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage.
 
-    The files outlive lost executors; the file system removes them when the driver's JVM ends.
+    The files outlive lost executors; the file system removes them when the driver's JVM ends, or never
+    if a ``path`` is given.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/meterlark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
+    path = path or scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def materialise_dealt(df: DataFrame, name: str, column: str, n: int) -> str:
     """Like ``materialise``, with rows dealt to ``n`` buckets by ``column``: later groupings by it read in place.
 
-    Returns the name of the table in the session's catalog.
+    Returns the name of a table in the session's catalog, to be dropped by the caller.
     """
-    spark = df.sparkSession
-    table = f"meterlark_{name}_{uuid.uuid4().hex[:12]}"
-    path = f"{shared_dir(spark)}/meterlark/{spark.sparkContext.applicationId}/{table}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path = scratch_path(df.sparkSession, name)
+    table = f"meterlark_{path.rsplit('/', 1)[-1].replace('-', '_')}"
     df.write.bucketBy(n, column).option("path", path).format("parquet").saveAsTable(table)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return table
 
 
-#: Most rows (some tens of bytes each) of a side that is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Most rows, and most bytes of written files, of a side that is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
+
+
+def stored_bytes(table: DataFrame) -> int:
+    """Bytes of the files that a written table is read from."""
+    return int(str(table._jdf.queryExecution().analyzed().stats().sizeInBytes()))
 
 
 def counted_side(table: DataFrame) -> DataFrame:
-    """A written table as the side of a join: broadcast if its counted rows allow it, else shuffled."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """A written table as the side of a join: broadcast if its rows and bytes allow it, else shuffled."""
+    return F.broadcast(table) if stored_bytes(table) <= BROADCAST_BYTES and table.count() <= BROADCAST_ROWS else table
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
+    """Join of ``rows``, whose keys may be hot, with a written ``table`` that has a row for each key.
+
+    A table within ``counted_side``'s bounds is broadcast; a larger one is repeated for each salt, so that
+    no key's rows meet in one task.
+    """
+    side = counted_side(table)
+    if side is not table:
+        return rows.join(side, keys, how)
+    (salt,) = fresh_names(rows, "_salt")
+    salted = rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    return salted.join(table.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long")), [*keys, salt], how).drop(salt)
+
+
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` begins with one of them."""
+    out = []
+    for name in names:
+        while any(c.lower().startswith(name.lower()) for c in df.columns):
+            name = f"{name}_"
+        out.append(name)
+    return out
 
 
 def discard(*tables: DataFrame) -> None:

@@ -27,8 +27,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import bound_batches, gathered, partitions, shared_dir, used_worker
+from meterlark.llm.common import bound_batches, gathered, partitions, used_worker
 from meterlark.llm.wavelet import WaveletMatrix
+from meterlark.session import scratch_path
 
 BLOCK_IDS = 1 << 20
 #: Pieces, and parts of pieces, that a worker remembers; longer pieces than this many characters are not remembered.
@@ -275,9 +276,7 @@ def token_digest(
     docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, pieces: int = CACHE_PIECES, batch: int = BATCH_BYTES
 ) -> DataFrame:
     """Write the token files (below the shared folder unless ``path`` is given) and read them back."""
-    import uuid
-
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/meterlark/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex[:12]}"
+    path = path or scratch_path(spark, "tokens")
     write_token_files(docs, path, tokenizer, end_id, pieces, batch)
     return read_token_files(spark, path)

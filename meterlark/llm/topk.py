@@ -1,42 +1,49 @@
-"""Exact top-k inner products from an impact-ordered index, score at a time.
-
-Every component of a vector is a posting (vector, impact) of the term (dimension, sign). An index
-shard holds the postings of some thousand vectors in segments of descending quantised impact: tier t
-has the postings whose impact lies in its range. For a block of queries the tiers are added to the
-accumulators from the largest impacts down. What is left of a vector can change its score by at most
-the Cauchy-Schwarz product of the query's norm and the norm of its unprocessed components, so each
-accumulator has bounds; a vector whose upper bound is below the k-th best lower bound is out for
-good. Processing stops only when the bounds prove who can still be a member, at most
-``SURVIVORS`` for each query, or when the segments are used up; possible members are rescored
-exactly in integers.
-
-Shards times query blocks are dealt out as one group each (an equi-join on the shard number with the
-blocks repeated for each shard), so no task holds more than one shard and one block; each returns k
-rows a query, merged by one window per query.
+"""Exact top-k inner products from a stored impact-ordered index, score at a time.
+
+Every component of a vector is a posting (vector, impact) of its dimension. An index shard holds the
+postings of some thousand vectors in segments: impacts are quantised to ``LEVELS`` levels of size, and a
+segment has the postings of one level and dimension, the highest level first. Shards are built once and
+written to a table (``build_index``); ``search`` reads it for any number of query sets.
+
+Segments are added to the queries' accumulators level by level. What is left of a vector can change its
+score by at most the Cauchy-Schwarz product of the query's norm and the norm of its unprocessed
+components, so each accumulator has bounds, and a vector whose upper bound is below the k-th best lower
+bound is out for good. A query stops, whatever the others do, once these bounds prove that its possible
+members cost less to rescore than its remaining postings cost to read; it skips those segments.
+Possible members are rescored exactly in integers. Bounds include the rounding error of the
+accumulators, so they hold for components of any size.
+
+Of equal vectors only the k + 1 smallest ids can be members (ties go to smaller ids, and a query's own id
+is none of its candidates), so the others stay out of the index; a vector that a third of all rows hold
+costs k + 1 postings a dimension. Shards times query blocks are dealt out as one group each (an equi-join
+on the shard number with the blocks repeated for each shard), so no task holds more than one shard and one
+block; each returns k rows a query, and the merge keeps the k best of each task before it shuffles.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part, nor do
 rows with a null id; vectors of different lengths count as padded with zeros; rows with a query's id
-are not its candidates; equal scores go to the smaller id; repeated rows are one candidate; fewer
-candidates than k give fewer rows; an empty table gives an empty table; extra columns are not read.
+are not its candidates; equal scores go to the smaller id; repeated rows are one candidate, rows that
+share an id alone are vectors of their own; components and scores beyond a long count as the nearest
+long; fewer candidates than k give fewer rows; an empty table gives an empty table; extra columns are not
+read.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import materialise
+from meterlark.llm.common import bound_batches, materialise
 
 SHARD_ROWS, BLOCK_QUERIES = 8192, 8192
 #: Queries whose accumulators a task holds at once.
 AT_ONCE = 128
-TIERS, SURVIVORS = 6, 64
-#: Integer components beyond this can't be summed exactly in doubles.
-LARGEST = 1 << 22
+LEVELS = 16
+_LONG = (1 << 63) - 1
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -46,60 +53,129 @@ def quantised(vector: Column, scale: int = 256) -> Column:
     return F.when(vector.isNotNull() & sound, whole)
 
 
-def segments(vectors: np.ndarray, tiers: int = TIERS) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Postings (rows, dimensions, impacts) of each tier, the largest impacts first.
-
-    Tier borders are quantiles of the impacts, so tiers hold about equally many postings.
-    """
-    size = np.abs(vectors)
-    borders = np.unique(np.quantile(size[size > 0], np.linspace(0, 1, tiers + 1)[1:-1], method="lower")) if size.any() else np.zeros(0)
-    tier = len(borders) - np.searchsorted(borders, size, "left")
-    out = []
-    for t in range(len(borders) + 1):
-        rows, dims = np.nonzero((tier == t) & (size > 0))
-        out.append((rows, dims, vectors[rows, dims]))
+def _matrix(values, dim: int) -> np.ndarray:
+    out = np.zeros((len(values), dim), np.int64)
+    for i, v in enumerate(values):
+        out[i, : len(v)] = v
     return out
 
 
-def search_shard(index: list, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, survivors: int = SURVIVORS):
-    """(query position, id, score) of the k best of one shard for each query, exactly.
+class Shard:
+    """Ids, vectors and their segments by (level, dimension), the highest level first."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS):
+        self.ids, self.vectors, self.dim = ids, vectors, vectors.shape[1]
+        size = np.abs(vectors.astype(np.float64))
+        borders = np.unique(np.quantile(size[size > 0], np.linspace(0, 1, levels + 1)[1:-1], method="lower")) if size.any() else np.zeros(0)
+        self.levels = len(borders) + 1
+        level = len(borders) - np.searchsorted(borders, size, "left")
+        rows, dims = np.nonzero(size)
+        by = np.lexsort((rows, dims, level[rows, dims]))
+        self.rows, dims = rows[by].astype(np.int32), dims[by]
+        level = level[self.rows, dims]
+        self.impacts = vectors[self.rows, dims].astype(np.float64)
+        self.starts = np.searchsorted(level * self.dim + dims, np.arange(self.levels * self.dim + 1))
+        squares = np.zeros((self.levels + 1, len(ids)))
+        np.add.at(squares, (level, self.rows), self.impacts**2)
+        # norm of what is left after each level, rounded up
+        self.left = np.sqrt(np.cumsum(squares[::-1], axis=0)[::-1][1:]) * (1 + 1e-9)
+        self.norms = np.sqrt(squares.sum(axis=0)) * (1 + 1e-9)
+        self.read = 0  # postings added to an accumulator, for tests and figures
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query position, id, score) of the k best of the shard for each query, exactly."""
+        found = [self._search(query_ids[a : a + AT_ONCE], queries[a : a + AT_ONCE], k) for a in range(0, len(queries), AT_ONCE)]
+        at = np.concatenate([np.zeros(0, np.int64)] + [x[0] + a * AT_ONCE for a, x in enumerate(found)])
+        return at, *(np.concatenate([np.zeros(0, np.int64)] + [x[i] for x in found]) for i in (1, 2))
+
+    def _search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
+        n, out = len(self.ids), []
+        weight = queries.astype(np.float64)
+        reach, asking = np.linalg.norm(weight, axis=1) * (1 + 1e-9), np.arange(len(queries))
+        total = np.zeros((n, len(queries)))
+        own = self.ids[:, None] == query_ids[None, :]
+        # rounding error of the sums; it decides nothing where components are small
+        error = 2.0**-50 * (self.dim + 4) * self.norms
+        for level in range(self.levels):
+            for d in range(self.dim):
+                a, b = self.starts[level * self.dim + d : level * self.dim + d + 2]
+                if a < b:
+                    total[self.rows[a:b]] += self.impacts[a:b, None] * weight[None, asking, d]
+            read = self.starts[(level + 1) * self.dim]
+            self.read += int(read - self.starts[level * self.dim]) * len(asking)
+            slack = (self.left[level] + error)[:, None] * reach[None, asking]
+            low = np.where(own, -np.inf, total - slack)
+            floor = np.partition(low, n - k, axis=0)[n - k] if n > k else np.full(len(asking), -np.inf)
+            possible = (total + slack >= floor) & ~own
+            rest = len(self.rows) - read
+            done = possible.sum(axis=0) * self.dim <= rest if rest else np.ones(len(asking), bool)
+            for j in np.flatnonzero(done):
+                who = np.flatnonzero(possible[:, j])
+                score = self._scores(who, queries[asking[j]])
+                best = np.lexsort((self.ids[who], -score if score.dtype != object else [-x for x in score]))[:k]
+                out.append((np.full(len(best), asking[j]), self.ids[who[best]], score[best].astype(np.int64)))
+            if done.all():
+                break
+            asking, total, own = asking[~done], total[:, ~done], own[:, ~done]
+        out.sort(key=lambda x: x[0][0] if len(x[0]) else -1)
+        return tuple(np.concatenate([np.zeros(0, np.int64)] + [x[i] for x in out]) for i in range(3))
+
+    def _scores(self, who: np.ndarray, query: np.ndarray) -> np.ndarray:
+        own = self.vectors[who].astype(np.int64)
+        if float(np.abs(own.astype(np.float64)).max(initial=0)) * float(np.abs(query.astype(np.float64)).max(initial=0)) * self.dim < 2.0**62:
+            return own @ query
+        exact = [sum(int(x) * int(y) for x, y in zip(v, query)) for v in own]
+        return np.array([max(-_LONG - 1, min(_LONG, x)) for x in exact], object)
+
+
+def _vectors(vectors: DataFrame, ident: str, vector: str, scale: int) -> DataFrame:
+    rows = vectors.select(F.col(ident).cast("long").alias("vec_id"), quantised(F.col(vector), scale).alias("v"))
+    return materialise(rows.filter("vec_id is not null and v is not null"), "vectors")
+
+
+def build_index(rows: DataFrame, k: int, path: str | None = None) -> DataFrame:
+    """(shard, index) of the vectors (vec_id, v), for searches of up to ``k``: a table at ``path``, or a scratch one."""
+    bound_batches(rows.sparkSession)
+    few = F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))
+    held = materialise(rows.withColumn("_r", few).filter(F.col("_r") <= k + 1).drop("_r").distinct(), "held")
+    facts = held.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    dim, shards = max(1, facts["dim"] or 0), max(1, math.ceil(facts["n"] / SHARD_ROWS))
+
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        data = _matrix(pdf["v"], dim)
+        most = int(np.abs(data.astype(np.float64)).max(initial=0))
+        kind = np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64
+        shard = Shard(pdf["vec_id"].to_numpy(np.int64), data.astype(kind))
+        return pd.DataFrame({"shard": [int(key[0])], "dim": [dim], "index": [pickle.dumps(shard, 5)]})
+
+    dealt = held.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int"))
+    return materialise(dealt.groupBy("shard").applyInPandas(build, "shard int, dim int, index binary"), "index", path)
+
+
+def search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k largest inner products of each query (vec_id, v) with the index."""
+    asked = materialise(queries.distinct(), "queries")
+    blocks = math.ceil(max(1, asked.count()) / BLOCK_QUERIES)
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
+    held = index.withColumn("block", every)
+    put = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int")).withColumn(
+        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    )
 
-    ``index`` is ``segments(vectors)``; ``queries`` and ``vectors`` are integers.
-    """
-    n = len(ids)
-    weight = queries.astype(np.float64)
-    reach = np.linalg.norm(weight, axis=1)
-    total = np.zeros((len(queries), n))
-    left = (vectors.astype(np.float64) ** 2).sum(axis=1)
-    own = query_ids[:, None] == ids[None, :]
-    for t, (rows, dims, impacts) in enumerate(index):
-        part = np.zeros((n, queries.shape[1]))
-        part[rows, dims] = impacts
-        total += weight @ part.T
-        left = np.maximum(left - np.bincount(rows, impacts.astype(np.float64) ** 2, n), 0.0)
-        if t == len(index) - 1:
-            break
-        # rounded up, so the bound holds in floating point as well
-        slack = reach[:, None] * np.sqrt(left)[None, :] * (1 + 1e-9) + 1e-6
-        low = np.where(own, -np.inf, total - slack)
-        if n - int(own.sum(axis=1).max(initial=0)) <= k:
-            continue
-        floor = np.partition(low, n - k, axis=1)[:, n - k]
-        if ((total + slack >= floor[:, None]) & ~own).sum(axis=1).max(initial=0) <= max(survivors, k):
-            possible = (total + slack >= floor[:, None]) & ~own
-            break
-    else:
-        possible = ~own
-    if index and t == len(index) - 1:  # all postings are in: the totals are the scores
-        low = np.where(own, -np.inf, total)
-        floor = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(queries), -np.inf)
-        possible = (low >= floor[:, None]) & ~own
-    at, who = np.nonzero(possible)
-    score = np.einsum("ij,ij->i", queries[at].astype(np.int64), vectors[who].astype(np.int64))
-    order = np.lexsort((ids[who], -score, at))
-    at, who, score = at[order], who[order], score[order]
-    place = np.arange(len(at)) - np.searchsorted(at, at, "left")
-    return at[place < k], ids[who[place < k]], score[place < k]
+    def look(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if not len(own) or not len(wanted):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        shard = pickle.loads(own["index"].iloc[0])
+        asking = wanted["vec_id"].to_numpy(np.int64)
+        # components beyond the shard's dimensions meet zeros
+        weights = _matrix([v[: shard.dim] for v in wanted["v"]], shard.dim)
+        at, who, score = shard.search(asking, weights, k)
+        return pd.DataFrame({"query_id": asking[at], "vec_id": who, "score": score})
+
+    found = held.groupBy("shard", "block").cogroup(put.groupBy("shard", "block")).applyInPandas(look, "query_id long, vec_id long, score long")
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, ident: str, vector: str, queries: Column, k: int = 5, scale: int = 256) -> DataFrame:
@@ -107,54 +183,8 @@ def top_k(vectors: DataFrame, ident: str, vector: str, queries: Column, k: int =
 
     ``queries`` is a condition on column ``vec_id``; all other rows are its candidates.
     """
-    rows = materialise(
-        vectors.select(F.col(ident).cast("long").alias("vec_id"), quantised(F.col(vector), scale).alias("v"))
-        .filter("vec_id is not null and v is not null")
-        .distinct(),
-        "vectors",
-    )
-    asked = rows.filter(queries)
-    facts = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).first()
-    spark = vectors.sparkSession
-    if not facts["n"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    if (facts["most"] or 0) > LARGEST or (facts["most"] or 0) ** 2 * max(1, facts["dim"]) >= 1 << 53:
-        raise ValueError("components are too large for exact scores")
-    dim = max(1, facts["dim"])
-    shards = math.ceil(facts["n"] / SHARD_ROWS)
-    blocks = math.ceil(max(1, asked.count()) / BLOCK_QUERIES)
-
-    def matrix(values: pd.Series) -> np.ndarray:
-        out = np.zeros((len(values), dim), np.int64)
-        for i, v in enumerate(values):
-            out[i, : len(v)] = v
-        return out
-
-    spread = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = rows.withColumn("shard", spread(shards, 1)).withColumn("block", every(blocks))
-    put = asked.withColumn("block", spread(blocks, 2)).withColumn("shard", every(shards))
-
-    def search(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if not len(own) or not len(wanted):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        data, ids = matrix(own["v"]), own["vec_id"].to_numpy(np.int64)
-        asking, weights = wanted["vec_id"].to_numpy(np.int64), matrix(wanted["v"])
-        index, parts = segments(data), []
-        for a in range(0, len(asking), AT_ONCE):
-            at, who, score = search_shard(index, ids, data, asking[a : a + AT_ONCE], weights[a : a + AT_ONCE], k)
-            parts.append(pd.DataFrame({"query_id": asking[a + at], "vec_id": who, "score": score}))
-        return pd.concat(parts)
-
-    found = (
-        held.groupBy("shard", "block")
-        .cogroup(put.groupBy("shard", "block"))
-        .applyInPandas(search, "query_id long, vec_id long, score long")
-    )
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return (
-        found.distinct().withColumn("rank", best).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
-    )
+    rows = _vectors(vectors, ident, vector, scale)
+    return search(build_index(rows, k), rows.filter(queries), k)
 
 
 ORACLE_SQL = """
