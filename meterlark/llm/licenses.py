@@ -1,22 +1,26 @@
 """License scan: phrases, and an exact set-similarity join of text blocks with license templates
 (DataFrame operations only).
 
-A text's words are cut into blocks of ``2 * STEP`` words every ``STEP`` words, so any passage of up to
-``STEP`` words stands whole in a block. A block meets a template if it holds at least ``THRESHOLD`` of
-the template's distinct words. Words are ordered globally, the rarest in the corpus first; a meeting
-block must then hold one of the template's first |T| - need + 1 words (prefix filter), must have
-``need`` template words at all (length filter), and its first common word must leave enough words
-behind it on both sides (positional filter). What passes is verified by intersection, so no meeting
-block is lost and none is reported in error.
-
-Only words of the templates are ever counted, and the templates are a parameter of fixed size: the
-word order (a row per template word) is the one thing that reaches the driver, and the template side
+Tokens are pairs of neighbouring words, so that word order counts. A text block meets a template if it
+holds at least ``THRESHOLD`` of the template's distinct tokens and all tokens of its deciding words, which
+tell it from its neighbours (``by nc``, ``version 3``). A template of n words is compared with blocks of
+2 * step words every step words, step being the power of two from 2 * n on, so a copy of the template with
+up to as many words again put into it stands whole in a block, however long the template is.
+
+Tokens are ordered globally, the rarest in the corpus first; a meeting block must then hold one of the
+template's first |T| - need + 1 tokens (prefix filter), must have ``need`` template tokens at all (length
+filter), and its first common token must leave enough tokens behind it on both sides (positional
+filter). What passes is verified by intersection, so no meeting block is lost and none is reported in
+error.
+
+Only tokens of the templates are ever counted, and the templates are a parameter of fixed size: the
+token order (a row per template token) is the one thing that reaches the driver, and the template side
 of the join is a literal table. Texts are not shuffled.
 
 Defined results: null and empty texts have no words, no labels and score 0; labels are distinct,
 sorted and comma-joined (empty if none); the score is 1 with a base phrase, else the largest share
 of a template found, else 0; repeated rows get equal results; an empty table gives an empty table;
-extra columns are not read.
+extra columns are not read; templates of fewer than two words are refused.
 """
 
 from __future__ import annotations
@@ -32,21 +36,44 @@ from meterlark.llm.common import ALNUM_BREAK, alnum_words, lower_ascii
 #: Fixed values of the contract: phrase, label.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Usual notices of public licenses, as words, with the label that a meeting block gets.
+#: Notices and license texts in public use, as words: label, words that decide, text.
 TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mit", "mit license", "released under the mit license"),
+    ("mit", "mit license", "licensed under the mit license"),
+    ("mit", "", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("apache-2.0", "version 2 0", "licensed under the apache license version 2 0"),
+    ("apache-2.0", "license 2 0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("bsd", "", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("isc", "", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("gpl-3.0", "license version 3", "licensed under the gnu general public license version 3"),
+    ("gpl-2.0", "license version 2", "licensed under the gnu general public license version 2"),
+    ("gpl", "gnu general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("lgpl", "gnu lesser general", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("mpl-2.0", "mozilla public license v 2 0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("cc-by-nc", "cc by nc", "licensed under cc by nc 4 0"),
+    ("cc-by-sa", "cc by sa", "licensed under cc by sa 4 0"),
+    ("cc-by", "attribution 4 0", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-nc", "attribution noncommercial 4 0", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-sa", "attribution sharealike 4 0", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("unlicense", "", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
 )
 
-THRESHOLD, STEP = 0.8, 32
+THRESHOLD, SHORTEST_STEP = 0.8, 16
+
+
+def pairs_of(text: str) -> list[str]:
+    """A template's distinct tokens, sorted."""
+    words = text.split()
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
+
+
+def step_of(text: str) -> int:
+    """Words between the starts of the blocks that a template is compared with."""
+    return max(SHORTEST_STEP, 1 << (2 * len(text.split()) - 1).bit_length())
+
+
+def needed(n: int, threshold: float) -> int:
+    return math.ceil(threshold * n - 1e-9)
 
 
 def _spaced(text: Column) -> Column:
@@ -83,46 +110,60 @@ def phrase_places(docs: DataFrame, phrases: tuple = PHRASES) -> DataFrame:
     )
 
 
-def word_order(docs: DataFrame, templates: tuple = TEMPLATES) -> list[str]:
-    """The templates' distinct words, the rarest in all of ``docs`` first."""
-    vocabulary = sorted({w for _, text in templates for w in text.split()})
-    tokens = docs.select(F.explode(alnum_words(F.col("text"))).alias("w")).filter(F.col("w").isin(vocabulary))
-    counts = {r["w"]: r["n"] for r in tokens.groupBy("w").agg(F.count("*").alias("n")).collect()}
-    return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
+def _tokens(text: Column, wanted: list[str]) -> Column:
+    """The text's pairs of neighbouring words, null where a pair is none of ``wanted``."""
+    words = alnum_words(text)
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    firsts, seconds = (sorted({t.split()[k] for t in wanted}) for k in (0, 1))
+    joined = F.zip_with(
+        F.slice(words, F.lit(1), n),
+        F.slice(words, F.lit(2), n),
+        lambda a, b: F.when(a.isin(firsts) & b.isin(seconds), F.concat(a, F.lit(" "), b)),
+    )
+    return joined
+
+
+def token_order(docs: DataFrame, templates: tuple = TEMPLATES) -> list[str]:
+    """The templates' distinct tokens, the rarest in all of ``docs`` first."""
+    vocabulary = sorted({t for *_, text in templates for t in pairs_of(text)})
+    tokens = docs.select(F.explode(F.array_compact(_tokens(F.col("text"), vocabulary))).alias("t")).filter(F.col("t").isin(vocabulary))
+    counts = {r["t"]: r["n"] for r in tokens.groupBy("t").agg(F.count("*").alias("n")).collect()}
+    return sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
 
 
-def template_blocks(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD, step: int = STEP) -> DataFrame:
+def template_blocks(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(d, h, block, template, label, share) of every block that meets a template."""
+    if any(len(text.split()) < 2 for *_, text in templates):
+        raise ValueError("a template needs two words or more")
     spark = docs.sparkSession
-    order = word_order(docs, templates)
-    rank = {w: k for k, w in enumerate(order)}
-    sides, prefixes = [], []
-    for name, (label, text) in enumerate(templates):
-        own = sorted({rank[w] for w in text.split()})
-        need = math.ceil(threshold * len(own) - 1e-9)
-        sides.append((name, label, own, need))
-        prefixes += [(r, name, i) for i, r in enumerate(own[: len(own) - need + 1])]
-    least = min(need for *_, need in sides)
-    index = F.broadcast(spark.createDataFrame(prefixes, "word int, template int, i int"))  # a row per prefix word
-    side = F.broadcast(spark.createDataFrame(sides, "template int, label string, own array<int>, need int"))
-    first_words = sorted({order[r] for r, *_ in prefixes})
-    # A literal map turns the templates' words into their ranks; other words drop out.
-    ranks = F.create_map(*[F.lit(x) for kv in rank.items() for x in kv])
+    order = token_order(docs, templates)
+    rank = {t: k for k, t in enumerate(order)}
+    sides, prefixes, held_by = [], [], set()
+    for name, (label, decides, text) in enumerate(templates):
+        own = sorted(rank[t] for t in pairs_of(text))
+        need, step = needed(len(own), threshold), step_of(text)
+        sides.append((name, label, own, sorted(rank[t] for t in pairs_of(decides)), need))
+        prefixes += [(r, step, name, i) for i, r in enumerate(own[: len(own) - need + 1])]
+        held_by |= {(order[r], r, step) for r in own}
+    index = F.broadcast(spark.createDataFrame(prefixes, "token int, step int, template int, i int"))  # a row per prefix token
+    side = F.broadcast(spark.createDataFrame(sides, "template int, label string, own array<int>, decides array<int>, need int"))
+    steps = F.broadcast(spark.createDataFrame(sorted(held_by), "t string, token int, step int"))  # a row per template token
+    firsts = sorted({order[r] for r, *_ in prefixes})
+    text = F.col("text")
     rows = (
-        docs.select(
-            F.coalesce("doc_id", F.expr("-9223372036854775807L")).alias("d"),
-            F.xxhash64("text").alias("h"),
-            alnum_words(F.col("text")).alias("w"),
-        )
-        .filter(F.arrays_overlap("w", F.array(*[F.lit(w) for w in first_words])))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil((F.size("w") - step) / step) - 1).cast("int"))))
-        .withColumn("w", F.array_intersect(F.slice("w", F.col("block") * step + 1, 2 * step), F.array(*[F.lit(w) for w in order])))
-        .filter(F.size("w") >= least)
-        .select("d", "h", "block", F.array_sort(F.transform("w", lambda x: ranks[x])).alias("held"))
+        docs.filter(F.exists(_tokens(text, firsts), lambda t: F.coalesce(t.isin(firsts), F.lit(False))))
+        .select(F.coalesce("doc_id", F.expr("-9223372036854775807L")).alias("d"), F.xxhash64("text").alias("h"), F.posexplode(_tokens(text, order)).alias("p", "t"))
+        .filter("t is not null")
+        .join(steps, "t")
     )
-    entries = rows.select("d", "h", "block", "held", F.posexplode("held").alias("j", "word"))
-    first = (
-        entries.join(index, "word")
+    # the blocks, of 2 * step words every step words, that hold both words of the pair
+    last = F.expr("p div step")
+    first = F.greatest(F.lit(0), last - F.when(F.col("p") % F.col("step") <= F.col("step") - 2, 1).otherwise(0))
+    blocks = rows.select("d", "h", "step", "token", F.explode(F.sequence(first, last)).alias("block")).groupBy("d", "h", "step", "block")
+    held = blocks.agg(F.array_sort(F.collect_set("token")).alias("held"))
+    found = (
+        held.select("d", "h", "step", "block", "held", F.posexplode("held").alias("j", "token"))
+        .join(index, ["token", "step"])
         .groupBy("d", "h", "block", "held", "template")
         .agg(F.min(F.struct("i", "j")).alias("at"))
         .join(side, "template")
@@ -130,8 +171,8 @@ def template_blocks(docs: DataFrame, templates: tuple = TEMPLATES, threshold: fl
         .filter(1 + F.least(F.size("own") - F.col("at.i") - 1, F.size("held") - F.col("at.j") - 1) >= F.col("need"))
     )
     return (
-        first.withColumn("common", F.size(F.array_intersect("held", "own")))
-        .filter("common >= need")
+        found.withColumn("common", F.size(F.array_intersect("held", "own")))
+        .filter((F.col("common") >= F.col("need")) & (F.size(F.array_except("decides", "held")) == 0))
         .select("d", "h", "block", "template", "label", (F.col("common") / F.size("own")).alias("share"))
     )
 
@@ -156,25 +197,28 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRES
 
 
 def _sql() -> str:
+    listed = lambda tokens: f"[{', '.join(repr(t) for t in tokens)}]::VARCHAR[]"
     rows = ", ".join(
-        f"({k}, '{label}', [{', '.join(repr(w) for w in sorted(set(text.split())))}])" for k, (label, text) in enumerate(TEMPLATES)
+        f"('{label}', {step_of(text)}, {listed(pairs_of(text))}, {listed(pairs_of(decides))}, {needed(len(pairs_of(text)), THRESHOLD)})"
+        for label, decides, text in TEMPLATES
     )
-    places, n_base, bases = [], [], []
+    places, bases = [], []
     for k, (phrase, label) in enumerate(PHRASES):
         words = phrase.split()
         same = " AND ".join(f"w[i + {j}] = '{x}'" for j, x in enumerate(words, 1))
         places.append(f"list_filter(range(0, len(w) - {len(words) - 1}), lambda i: {same}) AS p{k}")
         bases.append(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END")
-    joined = "list_concat(list_concat(p0, p1), p2)"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-t(k, label, own) AS (VALUES {rows}),
-b AS (SELECT r, unnest(range(0, greatest(1, ceil((len(w) - {STEP}) / {STEP}.0)::BIGINT))) AS b, w FROM d),
-c AS (SELECT r, label, len(list_intersect(list_distinct(w[b * {STEP} + 1:b * {STEP} + {2 * STEP}]), own)) AS n, len(own) AS m FROM b, t),
-f AS (SELECT r, list(DISTINCT label) AS more, max(n / m::DOUBLE) AS share FROM c WHERE n >= ceil({THRESHOLD} * m - 1e-9) GROUP BY r),
+t(label, step, own, decides, need) AS (VALUES {rows}),
+b AS (SELECT r, step, unnest(range(0, (len(w) + step - 1) // step)) AS b, w FROM d, (SELECT DISTINCT step FROM t)),
+x AS (SELECT r, step, w[b * step + 1:b * step + 2 * step] AS w FROM b),
+y AS (SELECT r, step, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS held FROM x),
+c AS (SELECT r, label, decides, held, need, len(list_intersect(held, own)) AS n, len(own) AS m FROM y JOIN t USING (step)),
+f AS (SELECT r, list(DISTINCT label) AS more, max(n / m::DOUBLE) AS share FROM c WHERE n >= need AND len(list_intersect(held, decides)) = len(decides) GROUP BY r),
 p AS (SELECT r, doc_id, len(w) AS n_words, {', '.join(places)} FROM d),
-q AS (SELECT *, {joined} AS every, list_filter([{', '.join(bases)}], lambda x: x IS NOT NULL) AS base FROM p)
+q AS (SELECT *, list_concat(list_concat(p0, p1), p2) AS every, list_filter([{', '.join(bases)}], lambda x: x IS NOT NULL) AS base FROM p)
 SELECT doc_id, n_words::BIGINT AS n_words, len(every)::BIGINT AS n_base, list_min(every)::BIGINT AS first_word,
     list_max(every)::BIGINT AS last_word, coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
     coalesce(array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, [])))), ','), '') AS labels,
