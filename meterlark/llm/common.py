@@ -22,7 +22,7 @@ WORD_CLASS = r"[^\x20\x09-\x0D]+"
 ALNUM_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, path: str | None = None, options: dict | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage.
 
     The files outlive lost executors; the file system removes them when the driver's JVM ends, or never
@@ -30,7 +30,7 @@ def materialise(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,42 +1,69 @@
-"""Benchmark decontamination over a distributed positional inverted index (DataFrame operations only).
+"""Benchmark decontamination over a stored positional inverted index (DataFrame operations only).
 
-The index holds one posting (document, position) for each training token that is a term of the test
-set; tokens that no test item uses can't take part in a match and have no postings. A test window of
-ten consecutive words is a list of (term, offset). Its rarest term, by postings, gives candidate
-starts (position minus offset); the second rarest list, adjusted by its offset, is intersected with
-them on (document, position); the few candidates left must then be found in all remaining lists.
-Windows with a term that has no posting are dropped before any list is read.
+``build_index`` stores a posting (term, document, position) for every token of the training texts, once;
+any number of benchmarks is then matched against it. The index is partitioned by document: each file
+holds the lists of its own documents, sorted by term, so building it shuffles nothing and a hot term's
+list is spread over all files. Beside it are the documents and a dictionary of the lists' lengths.
 
-Lists are read where they were written: the test set's terms and windows, and the ids of documents
-with candidates, are broadcast after a count, up to ``common.BROADCAST_ROWS`` rows; beyond it the same joins
-shuffle. Documents are named by (doc_id, hash of
-the text), so texts are neither shuffled nor grouped; a hot term only appears in a list that is
-intersected if it is rarest in a window.
+A test window of ten consecutive words is a list of (term, offset). Its rarest term, by the dictionary,
+gives candidate starts (position minus offset); the second rarest list, adjusted by its offset, is
+intersected with them on (document, position); the few candidates left must then be found in all
+remaining lists. Windows with a term that has no list are dropped before any list is read.
+
+The test set's terms and windows, and the candidates' documents, are broadcast within the bounds of
+``common.counted_side``; beyond them the same joins shuffle. A term is its 64-bit hash: a false match
+needs as many colliding words side by side as the window has.
 
 Defined results: null and empty texts have no words and are clean; an item shorter than the window
 is one window; an item without words, or with null id, names no hit (a null id's words still count
-as hit); repeated rows get equal results; empty tables give clean or empty results; extra columns
-are not read.
+as hit); repeated rows get equal results and ``keep_clean`` keeps all of them or none; empty tables give
+clean or empty results; extra columns of any name are kept by ``keep_clean`` and not read otherwise.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import alnum_words, counted_side, materialise
+from meterlark.llm.common import alnum_words, counted_side, fresh_names, materialise
 
 WINDOW = 10
-_COUNTED = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        "doc_id",
-        F.coalesce("doc_id", F.expr("-9223372036854775807L")).alias("d"),
-        F.xxhash64("text").alias("h"),
-        "text",
-    )
+@dataclass(frozen=True)
+class Index:
+    """Written tables: docs (row, doc_id, d, h, words), postings (tid, row, pos) and dictionary (tid, n)."""
+
+    docs: DataFrame
+    postings: DataFrame
+    dictionary: DataFrame
+
+
+def _identity() -> dict[str, Column]:
+    """Two longs that name a document by its id and text, or by its text alone where the id is null."""
+    return {"d": F.coalesce("doc_id", F.xxhash64(F.lit(7), "text")), "h": F.xxhash64("text")}
+
+
+def _term(word: Column) -> Column:
+    return F.xxhash64(word)
+
+
+def build_index(docs: DataFrame, path: str | None = None) -> Index:
+    """The index of all tokens of ``docs`` (doc_id, text), stored below ``path`` or in scratch tables."""
+    at = lambda name: path and f"{path}/{name}"
+    # row numbers are data of this table, so they are the same for all that reads it
+    words = docs.select("doc_id", *[c.alias(n) for n, c in _identity().items()], alnum_words(F.col("text")).alias("words"))
+    rows = materialise(words.withColumn("row", F.monotonically_increasing_id()), "docs", at("docs"))
+    tokens = rows.select("row", F.posexplode("words").alias("pos", "term")).select(_term(F.col("term")).alias("tid"), "row", "pos")
+    postings = materialise(tokens.sortWithinPartitions("tid"), "postings", at("postings"), {"parquet.writer.version": "v2"})
+    dictionary = materialise(postings.groupBy("tid").agg(F.count("*").alias("n")), "dictionary", at("dictionary"))
+    return Index(rows, postings, dictionary)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("docs", "postings", "dictionary")))
 
 
 def windows_of(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
@@ -49,33 +76,21 @@ def windows_of(items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataF
     return windows, materialise(cut.join(windows, "words").select("item_id", "win").distinct(), "items")
 
 
-def vocabulary_of(windows: DataFrame) -> DataFrame:
-    """(term, tid) of the windows' distinct words."""
-    terms = windows.select(F.explode("words").alias("term")).distinct()
-    return materialise(terms.withColumn("tid", F.monotonically_increasing_id()), "vocabulary")
-
-
-def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Postings (d, h, pos, tid) of the vocabulary's terms, each document's together."""
-    tokens = _named(docs).select("d", "h", F.posexplode(alnum_words(F.col("text"))).alias("pos", "term"))
-    return materialise(tokens.join(counted_side(vocabulary), "term").select("d", "h", "pos", "tid"), "postings")
-
-
-def _listed(windows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(win, len, off, tid): the windows as lists."""
+def _lists(index: Index, windows: DataFrame) -> DataFrame:
+    """(win, len, off, tid, n): the windows' words and the lengths of their lists, 0 without one."""
     parts = windows.select("win", F.size("words").alias("len"), F.posexplode("words").alias("off", "term"))
-    return parts.join(vocabulary, "term").drop("term")
+    parts = materialise(parts.select("win", "len", "off", _term(F.col("term")).alias("tid")), "lists")
+    asked = counted_side(materialise(parts.select("tid").distinct(), "vocabulary"))
+    counts = counted_side(materialise(index.dictionary.join(asked, "tid", "left_semi"), "lengths"))
+    return parts.join(counts, "tid", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def phrase_matches(index: DataFrame, windows: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(d, h, win, start, len) of every place where a window's words stand consecutively."""
-    counts = index.groupBy("tid").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("win")
+def phrase_matches(index: Index, windows: DataFrame) -> DataFrame:
+    """(row, win, start, len) of every place where a window's words stand consecutively."""
+    postings, by = index.postings, Window.partitionBy("win")
     rated = materialise(
-        _listed(windows, vocabulary)
-        .join(counts, "tid", "left")
-        .withColumn("rank", F.row_number().over(by.orderBy(F.coalesce("n", F.lit(0)), "off")))
-        .withColumn("least", F.min(F.coalesce("n", F.lit(0))).over(by))
+        _lists(index, windows)
+        .withColumns({"rank": F.row_number().over(by.orderBy("n", "off")), "least": F.min("n").over(by)})
         .filter("least > 0")
         .drop("n", "least"),
         "terms",
@@ -83,86 +98,86 @@ def phrase_matches(index: DataFrame, windows: DataFrame, vocabulary: DataFrame)
     second = rated.filter("rank = 2").select("win", F.col("tid").alias("tid2"), F.col("off").alias("off2"))
     first = rated.filter("rank = 1").select("tid", "win", "len", F.col("off").alias("off1")).join(second, "win", "left")
     first = counted_side(materialise(first, "rarest"))
-    starts = index.join(first, "tid").withColumn("start", F.col("pos") - F.col("off1")).filter("start >= 0")
+    starts = postings.join(first, "tid").withColumn("start", F.col("pos") - F.col("off1")).filter("start >= 0")
     seconds = counted_side(materialise(second.select(F.col("tid2").alias("tid")).distinct(), "second"))
-    lists = index.join(seconds, "tid", "left_semi").select("d", "h", F.col("pos").alias("at"), F.col("tid").alias("tid2"))
-    alone = starts.filter("tid2 is null").select("d", "h", "win", "len", "start")
+    lists = postings.join(seconds, "tid", "left_semi").select("row", F.col("pos").alias("at"), F.col("tid").alias("tid2"))
+    alone = starts.filter("tid2 is null").select("row", "win", "len", "start")
     both = (
         starts.filter("tid2 is not null")
-        .select("d", "h", "win", "len", "start", (F.col("start") + F.col("off2")).alias("at"), "tid2")
-        .join(lists, ["d", "h", "at", "tid2"], "left_semi")
+        .select("row", "win", "len", "start", (F.col("start") + F.col("off2")).alias("at"), "tid2")
+        .join(lists, ["row", "at", "tid2"], "left_semi")
     )
-    left = materialise(both.select("d", "h", "win", "len", "start").unionByName(alone).distinct(), "starts")
-    rest = rated.filter("rank > 2").select("win", "tid", "off")
-    asked = left.join(rest, "win").select("d", "h", "win", "len", "start", (F.col("start") + F.col("off")).alias("pos"), "tid")
-    some = counted_side(materialise(left.select("d", "h").distinct(), "candidates"))
-    near = index.join(some, ["d", "h"], "left_semi")
+    left = materialise(both.select("row", "win", "len", "start").unionByName(alone).distinct(), "starts")
+    rest = counted_side(materialise(rated.filter("rank > 2").select("win", "tid", "off"), "rest"))
+    asked = left.join(rest, "win").select("row", "win", "len", "start", (F.col("start") + F.col("off")).alias("pos"), "tid")
+    some = counted_side(materialise(left.select("row").distinct(), "candidates"))
+    near = postings.join(some, "row", "left_semi")
     complete = (
-        asked.join(near, ["d", "h", "pos", "tid"], "left_semi")
-        .groupBy("d", "h", "win", "len", "start")
+        asked.join(near, ["row", "pos", "tid"], "left_semi")
+        .groupBy("row", "win", "start", "len")
         .agg(F.count("*").alias("n"))
         .filter("n = len - 2")
         .drop("n")
     )
-    return left.filter("len <= 2").unionByName(complete)
+    return left.filter("len <= 2").unionByName(complete.select("row", "win", "len", "start"))
 
 
-def proximity_matches(index: DataFrame, windows: DataFrame, vocabulary: DataFrame, slack: int = 5) -> DataFrame:
-    """(d, h, win, begin): spans of len + slack words that hold all of a window's distinct terms.
+def proximity_matches(index: Index, windows: DataFrame, slack: int = 5) -> DataFrame:
+    """(row, win, begin): spans of len + slack words that hold all of a window's distinct terms.
 
     Every such span holds the rarest term, so only spans around its postings are looked into.
     """
-    listed = _listed(windows, vocabulary).select("win", (F.col("len") + slack).alias("span"), "tid").distinct()
-    rated = (
-        listed.join(index.groupBy("tid").agg(F.count("*").alias("n")), "tid", "left")
-        .withColumn("rank", F.row_number().over(Window.partitionBy("win").orderBy(F.coalesce("n", F.lit(0)), "tid")))
-        .withColumn("need", F.count("*").over(Window.partitionBy("win")))
-    )
+    listed = materialise(_lists(index, windows).select("win", (F.col("len") + slack).alias("span"), "tid", "n").distinct(), "lists")
+    by = Window.partitionBy("win")
+    rated = listed.withColumns({"rank": F.row_number().over(by.orderBy("n", "tid")), "need": F.count("*").over(by)})
+    rarest = counted_side(materialise(rated.filter("rank = 1 and n > 0").select("tid", "win", "span", "need"), "rarest"))
     begins = (
-        index.join(rated.filter("rank = 1").select("tid", "win", "span", "need"), "tid")
-        .select("d", "h", "win", "span", "need", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - F.col("span") + 1), F.col("pos"))).alias("begin"))
+        index.postings.join(rarest, "tid")
+        .select("row", "win", "span", "need", F.explode(F.sequence(F.greatest(F.lit(0), F.col("pos") - F.col("span") + 1), F.col("pos"))).alias("begin"))
         .distinct()
     )
     asked = begins.join(listed.select("win", "tid"), "win")
-    held = asked.join(index, ["d", "h", "tid"]).filter("pos >= begin and pos < begin + span")
+    held = asked.join(index.postings, ["row", "tid"]).filter("pos >= begin and pos < begin + span")
     return (
-        held.groupBy("d", "h", "win", "begin", "need")
+        held.groupBy("row", "win", "begin", "need")
         .agg(F.count_distinct("tid").alias("n"))
         .filter("n = need")
-        .select("d", "h", "win", "begin")
+        .select("row", "win", "begin")
     )
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(d, h, n_hit, n_items, items_sha256) of the documents with any hit."""
+def contamination(index: Index, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(row, n_hit, n_items, items_sha256) of the index's documents with any hit."""
     windows, named = windows_of(items, window)
-    vocabulary = vocabulary_of(windows)
-    found = materialise(phrase_matches(build_index(docs, vocabulary), windows, vocabulary), "matches")
+    found = materialise(phrase_matches(index, windows), "matches")
     hit = (
-        found.select("d", "h", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos"))
+        found.select("row", F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos"))
         .distinct()
-        .groupBy("d", "h")
+        .groupBy("row")
         .agg(F.count("*").alias("n_hit"))
     )
     by_item = (
-        found.select("d", "h", "win")
+        found.select("row", "win")
         .distinct()
         .join(named.select("win", F.col("item_id").cast("string").alias("item")), "win")
-        .groupBy("d", "h")
+        .groupBy("row")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
-    return hit.join(by_item, ["d", "h"]).select(
-        "d", "h", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return hit.join(by_item, "row").select(
+        "row", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of ``docs``."""
-    rows = _named(docs).select(
-        "doc_id", "d", "h", F.coalesce(F.regexp_count("text", F.lit(_COUNTED)), F.lit(0)).cast("long").alias("n_words")
-    )
-    found = contamination(docs, items, window)
-    return rows.join(found, ["d", "h"], "left").select(
+    return digest(build_index(docs), items, window)
+
+
+def digest(index: Index, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``decontaminate`` for the documents of an index."""
+    found = counted_side(materialise(contamination(index, items, window), "contaminated"))
+    rows = index.docs.select("row", "doc_id", F.size("words").cast("long").alias("n_words"))
+    return rows.join(found, "row", "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
@@ -174,9 +189,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Rows of ``docs``, all columns, that hold no window of any item."""
-    found = materialise(contamination(docs, items, window).select(F.col("d").alias("__clean_d"), F.col("h").alias("__clean_h")), "contaminated")
-    keyed = docs.withColumns({"__clean_d": F.coalesce("doc_id", F.expr("-9223372036854775807L")), "__clean_h": F.xxhash64("text")})
-    return keyed.join(counted_side(found), ["__clean_d", "__clean_h"], "left_anti").drop("__clean_d", "__clean_h")
+    index = build_index(docs)
+    (name,) = fresh_names(docs, "_clean")
+    hit = counted_side(materialise(contamination(index, items, window).select("row"), "rows"))
+    found = index.docs.select("row", "d", "h").join(hit, "row", "left_semi")
+    found = counted_side(materialise(found.select(*[F.col(c).alias(name + c) for c in _identity()]), "contaminated"))
+    keyed = docs.withColumns({name + n: c for n, c in _identity().items()})
+    return keyed.join(found, [name + n for n in _identity()], "left_anti").select(*docs.columns)
 
 
 ORACLE_SQL = r"""
