@@ -1,10 +1,13 @@
-"""Token ids in binary files: range-partitioned shards of wavelet matrices.
+"""Token ids in binary files: range-partitioned shards, a wavelet matrix each.
 
-Documents are range-partitioned and sorted by doc_id; each partition is a shard file whose rows are
-blocks of about ``BLOCK_IDS`` ids cut at document ends (a longer document has a block to itself),
-so a task holds one block. A block carries its documents' ids and lengths and a wavelet matrix.
-Words are tokenized once per worker and looked up after that: the tokenizer's normalizer and
-splitting pattern never join text across white space, nor ASCII text across the pattern's cuts.
+Documents are range-partitioned and sorted by doc_id; each partition's ids make one shard, or several of
+about ``SHARD_IDS`` ids cut at document ends (a longer document has a shard to itself), so a task holds one
+shard. A shard is one wavelet matrix with its directories in the file, and its documents' ids and
+lengths. ``read_token_files`` gives each document's ids back; ``token_count``, ``token_places`` and
+``tokens_at`` answer from rank, select and access and inflate just the blocks they meet.
+
+Where the tokenizer never joins text across white space (``PieceEncoder.by_words`` finds out), words are
+tokenized once per worker and looked up after that; with any other tokenizer whole texts are encoded.
 
 Defined results: null text is empty (its ids are the end id alone); null doc_id sorts first; repeated
 rows each get ids of their own, ties in doc_id are ordered by a hash of the text; an empty table
@@ -13,6 +16,7 @@ gives no files and an empty result; extra columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -31,7 +35,7 @@ from meterlark.llm.common import bound_batches, gathered, partitions, used_worke
 from meterlark.llm.wavelet import WaveletMatrix
 from meterlark.session import scratch_path
 
-BLOCK_IDS = 1 << 20
+SHARD_IDS = 1 << 22
 #: Pieces, and parts of pieces, that a worker remembers; longer pieces than this many characters are not remembered.
 CACHE_PIECES, CACHE_CHARS = 300_000, 64
 #: Bytes of text that are split at once.
@@ -70,6 +74,7 @@ class PieceEncoder:
         self.plain = all(
             self._steps(x) == [x.translate(self.letters)] for x in ("".join(letters), "".join(letters[::-1]))
         ) and self._steps("don't stop, 42!") == ["don", "'t", "stop", ",", "4", "2", "!"]
+        self.by_words = self._splits_at_space()
         self.parts: dict[str, bytes] = {}
         self._forget()
 
@@ -80,6 +85,19 @@ class PieceEncoder:
             return [piece]
         return [word for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
 
+    def _splits_at_space(self) -> bool:
+        """Whether a text's ids are its words' ids in a row, whatever white space is between them."""
+        config = json.loads(self.tokenizer.to_str())
+        for token in config.get("added_tokens") or ():
+            if token.get("lstrip") or token.get("rstrip") or re.search(r"\s", token["content"]):
+                return False
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        words = ["a", "Word", "42", "!?", "don't", "\u0301e", "\u00e9t\u00e9", "\u4e2d\u6587", "\u0627\u0644", "\ud55c", "\U0001f600", "x_y", "..", "'s", "</w>", "\u2581"]
+        alone = {w: ids(w) for w in words}
+        if any(ids(f"{space}{w}{space}") != alone[w] for w in words for space in (" ", "\n", "\t", "\x0b", "\x0c", "\r\n", "  ")):
+            return False
+        return all(ids(f"{a}{space}{b}") == alone[a] + alone[b] for a in words for b in words for space in (" ", "\n", "\t", "   ", "\r\n", "\x0b\x0c"))
+
     def _forget(self) -> None:
         self.place = {"": 0}
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -140,6 +158,9 @@ class PieceEncoder:
         """All ids, each text's followed by the end id, and the number of ids of each text."""
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if not self.by_words:
+            each = [np.array([*self.tokenizer.encode(x.as_py(), add_special_tokens=False).ids, self.end_id], np.uint32) for x in texts]
+            return np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
         cut = pc.ascii_split_whitespace(texts)
         named = cut.flatten().dictionary_encode()
         ends = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
@@ -184,7 +205,7 @@ def _unpack_docs(data: bytes) -> tuple[list, np.ndarray]:
     return [i if k else None for i, k in zip(ids, known.tolist())], np.frombuffer(data, "<i8", n, at + 8 * n)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pieces: int = CACHE_PIECES, batch: int = BATCH_BYTES) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, pieces: int = CACHE_PIECES, batch: int = BATCH_BYTES, shard_ids: int = SHARD_IDS) -> None:
     """Write the ids of all texts of ``docs`` (doc_id, text), in ascending doc_id order, to ``path``."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +236,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                 ids, lens = encoder.encode(arrow.column(1).slice(a, b - a))
                 upto, first = np.concatenate([[0], np.cumsum(lens)]), 0
                 for k in range(b - a):
-                    if held and held + lens[k] > BLOCK_IDS:
+                    if held and held + lens[k] > shard_ids:
                         take(doc_ids[a + first : a + k], lens[first:k], ids[upto[first] : upto[k]])
                         yield block()
                         first = k
@@ -230,8 +251,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     bound_batches(docs.sparkSession)
     (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .withColumn("tie", F.xxhash64("text"))
-        .repartitionByRange(n, "doc_id", "tie")
+        # the last key only lets a range end between rows that are equal in all else
+        .withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+        .repartitionByRange(n, "doc_id", "tie", "place")
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "text")
         .mapInArrow(write, FILE_SCHEMA)
@@ -240,43 +262,90 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     )
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the files at ``path``."""
+def _shards(spark: SparkSession, path: str) -> DataFrame:
+    """The files' rows with ``offset``, the ids of all shards before."""
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
+    # One row per file: bounded by the number of partitions written.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return files.join(F.broadcast(offsets), "part").withColumn("offset", F.col("before") + F.col("base")).drop("before")
+
+
+def read_token_files(spark: SparkSession, path: str, end_id: int = 2) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, n_end_ids) of every document in the files at ``path``.
+
+    ``n_end_ids``, by rank, is 1 unless the text's own ids hold the end id.
+    """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for row in pdf.itertuples(index=False):
                 doc_ids, lens = _unpack_docs(row.docs)
-                ids = WaveletMatrix.from_bytes(row.ids).decode().astype("<u4")
+                matrix = WaveletMatrix.from_bytes(row.ids)
+                ids = matrix.decode().astype("<u4")
                 upto = np.concatenate([[0], np.cumsum(lens)])
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
                 yield pd.DataFrame(
                     {
                         "doc_id": pd.array(doc_ids, "Int64"),
-                        "part": row.part,
-                        "at": row.base + upto[:-1],
+                        "start": row.offset + upto[:-1],
                         "n_tokens": lens,
                         "ids_crc32": crc,
+                        "n_end_ids": np.diff(matrix.ranks(end_id, upto)),
                     }
                 )
+        used_worker()
 
-    # One row per file: bounded by the number of partitions written.
-    offsets = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select(
-        "part",
-        F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
-    )
-    found = files.mapInPandas(read, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
-    return found.join(F.broadcast(offsets), "part").select(
-        "doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    rows = _shards(spark, path).select("offset", "docs", "ids")
+    return rows.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long, n_end_ids long")
+
+
+def token_count(spark: SparkSession, path: str, token: int) -> int:
+    """How often the files hold a token, by rank."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"n": [WaveletMatrix.from_bytes(x).count(token) for x in pdf["ids"]]})
+
+    return _shards(spark, path).select("ids").mapInPandas(count, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def token_places(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """(doc_id, at, position): every occurrence of a token, in its document and in all ids, by select."""
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                doc_ids, lens = _unpack_docs(row.docs)
+                upto = np.concatenate([[0], np.cumsum(lens)])
+                at = np.array(WaveletMatrix.from_bytes(row.ids).occurrences(token), np.int64)
+                doc = np.searchsorted(upto, at, "right") - 1
+                yield pd.DataFrame({"doc_id": pd.array([doc_ids[k] for k in doc], "Int64"), "at": at - upto[doc], "position": row.offset + at})
+
+    return _shards(spark, path).select("offset", "docs", "ids").mapInPandas(find, "doc_id long, at long, position long")
+
+
+def tokens_at(positions: DataFrame, path: str) -> DataFrame:
+    """(position, token) for the rows of ``positions`` (position), by access; places out of range have no row."""
+    shards = _shards(positions.sparkSession, path)
+    spans = F.broadcast(shards.select("part", "base", "offset", "n_ids"))  # a row per shard
+    inside = (F.col("position") >= F.col("offset")) & (F.col("position") < F.col("offset") + F.col("n_ids"))
+    asked = positions.select("position").distinct().join(spans, inside).groupBy("part", "base").agg(F.collect_list("position").alias("p"))
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                matrix = WaveletMatrix.from_bytes(row.ids)
+                yield pd.DataFrame({"position": row.p, "token": [matrix.access(int(x - row.offset)) for x in row.p]})
+
+    return shards.join(asked, ["part", "base"]).select("offset", "ids", "p").mapInPandas(look, "position long, token long")
 
 
 def token_digest(
-    docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, pieces: int = CACHE_PIECES, batch: int = BATCH_BYTES
+    docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, pieces: int = CACHE_PIECES, batch: int = BATCH_BYTES, shard_ids: int = SHARD_IDS
 ) -> DataFrame:
     """Write the token files (below the shared folder unless ``path`` is given) and read them back."""
     spark = docs.sparkSession
     path = path or scratch_path(spark, "tokens")
-    write_token_files(docs, path, tokenizer, end_id, pieces, batch)
-    return read_token_files(spark, path)
+    write_token_files(docs, path, tokenizer, end_id, pieces, batch, shard_ids)
+    return read_token_files(spark, path, end_id)

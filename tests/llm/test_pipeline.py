@@ -38,7 +38,7 @@ def test_stages_take_effect(spark):
 
 def test_run(spark):
     got = corpus_pipeline.run(spark, SMALL)
-    assert got.count() > 0 and got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+    assert got.count() > 0 and got.columns[:4] == ["doc_id", "start", "n_tokens", "ids_crc32"]
 
 
 def _stay(rows):
