@@ -5,8 +5,9 @@ every fingerprint emits its whole ball of that half radius and equal variants me
 64-bit fingerprint at radius 2 has 2,081 members; to keep the shuffle small, what travels is the
 fingerprint with each *prefix* of a variant (1 + b + b(b-1)/2 rows for b prefix bits), and the task
 that owns a prefix emits the variants that start with it and sorts them in memory. b grows with the
-number of fingerprints, so a task's share of variants stays the same at every size, and a share
-that is too large is subdivided by further bits.
+number of fingerprints, so a task's share of variants stays the same at every size. A prefix that more
+than ``GROUP_PRINTS`` fingerprints are near is dealt out again by ``SPLIT_BITS`` more bits, as often as it
+takes, so crowded fingerprints are no large group either; inside a task shares are cut by further bits.
 
 Fingerprints that share a variant at half the radius are within the radius of each other (triangle
 inequality), so a run of m of them is linked by m - 1 links to its smallest, not by all pairs.
@@ -21,18 +22,21 @@ table gives an empty table; extra columns are not read.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import UPPER, bound_batches, counted_side, discard, materialise, partitions, used_worker
+from meterlark.llm.common import UPPER, bound_batches, counted_side, discard, fresh_names, materialise, partitions, spread_join, used_worker
 from meterlark.llm.components import connected_components
 
 BITS = 64
 #: Variants of a prefix that a task owns, about: repeated links inside it don't leave the task.
 PREFIX_VARIANTS = 8_000_000
+#: Fingerprints near one prefix that a task takes; more are dealt out by so many further bits.
+GROUP_PRINTS, SPLIT_BITS = 500_000, 4
 #: Variants that a task holds at once; more are subdivided by another prefix bit.
 TASK_VARIANTS = 1_000_000
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -207,42 +211,50 @@ def near_links(prints: DataFrame, radius: int = 4, bits: int | None = None, turn
         n = max(1, prints.count())
         ball = sum(math.comb(BITS, k) for k in range(half + 1))
         bits = min(24, max(5, math.ceil(math.log2(max(2, n * ball / PREFIX_VARIANTS)))))
+    top = lambda b: F.shiftrightunsigned("fp", BITS - b)
     masks = [int(m) for m in _flips(bits, min(half, 2))]
-    sent = prints.select(
-        "fp",
-        F.explode(
-            F.transform(
-                F.array(*[F.lit(m) for m in masks]),
-                lambda m: F.shiftrightunsigned("fp", BITS - bits).bitwiseXOR(m.cast("long")),
-            )
-        ).alias("prefix"),
-    )
+    flipped = F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: top(bits).bitwiseXOR(m.cast("long")))
+    sent = prints.select("fp", F.explode(flipped).alias("prefix"))
+    dealt, now = [], bits
+    while now < BITS:
+        heavy = sent.groupBy("prefix").agg(F.count("*").alias("n")).filter(F.col("n") > GROUP_PRINTS).select("prefix")
+        heavy = materialise(heavy, "heavy")
+        if heavy.isEmpty():
+            break
+        heavy = counted_side(heavy)
+        dealt.append(sent.join(heavy, "prefix", "left_anti").withColumn("bits", F.lit(now)))
+        more = min(SPLIT_BITS, BITS - now)
+        longer = F.transform(F.sequence(F.lit(0), F.lit((1 << more) - 1)), lambda x: F.shiftleft("prefix", more).bitwiseOR(x.cast("long")))
+        now += more
+        sent = sent.join(heavy, "prefix", "left_semi").select("fp", F.explode(longer).alias("prefix"))
+        sent = materialise(sent.filter(F.bit_count(F.col("prefix").bitwiseXOR(top(now))) <= half), "crowded")
+    sent = reduce(DataFrame.unionByName, dealt, sent.withColumn("bits", F.lit(now)))
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         used_worker()
         own = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        links = links_of_prefix(np.unique(own), int(key[0]), bits, half, turn=turn, chains=closest)
+        links = links_of_prefix(np.unique(own), int(key[1]), int(key[0]), half, turn=turn, chains=closest)
         found = forest(links, turn)
         if closest:
             found = np.unique(np.concatenate([found, nearest(links)]), axis=0)
         return pd.DataFrame({"u": found[:, 0].view(np.int64), "v": found[:, 1].view(np.int64)})
 
-    return sent.groupBy("prefix").applyInPandas(meet, "u long, v long")
+    return sent.groupBy("bits", "prefix").applyInPandas(meet, "u long, v long")
 
 
 def simhash_components(docs: DataFrame, shingle: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs`` (doc_id, text)."""
     bound_batches(docs.sparkSession)
     rows = materialise(docs.select("doc_id", fingerprint(F.col("text"), shingle, seed).alias("fp")), "fingerprints")
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    prints = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "prints")
     parts = connected_components(materialise(near_links(prints.select("fp"), radius), "near"))
-    named = prints.join(parts, prints.fp == parts.node, "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return rows.join(named.select("fp", "component").join(least, "component").drop("component"), "fp").select(
-        "doc_id", "fp", "component_id"
-    )
+    linked = materialise(prints.join(parts, prints.fp == parts.node).select("fp", "least", "component"), "linked")
+    least = materialise(linked.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    named = spread_join(linked.select("fp", "component"), least, ["component"]).select("fp", "component_id")
+    # fingerprints of one row that are linked to none are their own components
+    alone = prints.filter("n > 1").join(linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    named = materialise(named.unionByName(alone), "named")
+    return spread_join(rows, named, ["fp"], "left").select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def hex_print(fp: Column) -> Column:
@@ -289,6 +301,15 @@ def prefix_of(shingles: np.ndarray, similarity: float, common: np.ndarray, rank:
     return shingles[np.lexsort((shingles, late))[:most]]
 
 
+def simhash_of(shingles: np.ndarray) -> int:
+    """SimHash of a set of shingles (unsigned)."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(shingles), 65536):
+        part = np.ascontiguousarray(shingles[at : at + 65536]).view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(shingles), bitorder="little").view(np.uint64)[0])
+
+
 def parity_of(shingles: np.ndarray) -> bytes:
     """Bits that each shingle flips by its hash, about four bits a shingle, a power of two of them."""
     bits = 1 << min(20, max(8, (2 * len(shingles)).bit_length()))
@@ -407,10 +428,10 @@ def _pairs_of_runs(similarity: float):
     return pairs
 
 
-def alike(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, k: int, similarity: float) -> DataFrame:
+def alike(docs: DataFrame, pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of text keys, a written table, whose sets of shingles are ``similarity`` alike.
 
-    ``sizes`` (text_key, n, parity) rules out pairs whose parities prove that they differ too much; the
+    ``texts`` (text_key, key, n, parity) rules out pairs whose parities prove that they differ too much; the
     sets themselves decide on the others.
     """
 
@@ -419,7 +440,7 @@ def alike(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, k: int, similarit
         used_worker()
         return pd.Series([differ_at_least(x, y) <= z for x, y, z in zip(a, b, most)], dtype=bool)
 
-    side = lambda key, n, parity: sizes.select(F.col("text_key").alias(key), F.col("n").alias(n), F.col("parity").alias(parity))
+    side = lambda key, n, parity: texts.select(F.col("text_key").alias(key), F.col("n").alias(n), F.col("parity").alias(parity))
     both = pairs.join(side("u", "n", "a"), "u").join(side("v", "m", "b"), "v")
     both = both.filter(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
     most = (1 - similarity) / (1 + similarity) * (F.col("n") + F.col("m")) + 1e-6
@@ -431,9 +452,9 @@ def alike(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, k: int, similarit
         return pd.Series([shingle_set(x, k).view(np.int64) for x in texts])
 
     asked = pairs.select(F.col("u").alias("text_key")).unionByName(pairs.select(F.col("v").alias("text_key"))).distinct()
-    asked = counted_side(materialise(asked, "asked"))
-    texts = docs.select(F.xxhash64("text").alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).join(asked, "text_key", "left_semi")
-    sets = materialise(texts.dropDuplicates(["text_key"]).select("text_key", set_of("text").alias("s")), "shingles")
+    asked = counted_side(materialise(texts.select("text_key", "key").join(asked, "text_key", "left_semi"), "asked"))
+    held = docs.select(_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")).join(asked, "key")
+    sets = materialise(held.dropDuplicates(["text_key"]).select("text_key", set_of("text").alias("s")), "shingles")
     both = pairs.join(sets.select(F.col("text_key").alias("u"), F.col("s").alias("a")), "u").join(
         sets.select(F.col("text_key").alias("v"), F.col("s").alias("b")), "v"
     )
@@ -444,32 +465,54 @@ def alike(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, k: int, similarit
     return links
 
 
+def _key() -> Column:
+    """A text's 128-bit name: no two texts are taken for one."""
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+
+
+def ball_pairs(texts: DataFrame, radius: int = 4) -> DataFrame:
+    """Pairs (u, v) of ``texts`` (text_key, fp, a written table) that ball hashing links, or equal fingerprints do."""
+    prints = materialise(texts.groupBy("fp").agg(F.min("text_key").alias("first"), F.count("*").alias("n")), "prints")
+    links = materialise(near_links(prints.select("fp"), radius, closest=True).distinct(), "near")
+    named = lambda fp, key: prints.select(F.col("fp").alias(fp), F.col("first").alias(key))
+    near = _ordered(links.join(named("u", "a"), "u").join(named("v", "b"), "v"), "a", "b")
+    several = materialise(prints.filter("n > 1").select("fp", "first"), "several")
+    return near.unionByName(_ordered(spread_join(texts.select("text_key", "fp"), several, ["fp"]), "text_key", "first"))
+
+
 def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, text_key) and verified links (u, v) between text keys.
+    """The rows (doc_id, key, text_key) and verified links (u, v) between text keys, a long for each text.
 
     The links connect exactly what all pairs of texts with ``similarity`` (Jaccard of the sets of
-    shingles) connect. Two such sets share one of their first shingles in any common order (prefix
-    filter; the rare come first), so texts meet by those. Each run of a shingle is first linked to a few
-    centres and verified; then every pair that meets, is not connected yet and can be alike by its
+    shingles) connect. Ball hashing of the sets' SimHashes proposes the closest pairs first, and most
+    groups of near copies are connected by these alone. It finds no pair for certain, so an exact way
+    follows: two such sets share one of their first shingles in any common order (prefix filter; the
+    rare come first), so texts meet by those. Each run of a shingle proposes links to a few centres; what
+    both proposed is verified; then every pair that meets, is not connected yet and can be alike by its
     sizes and places is verified too.
     """
     bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
 
-    @F.pandas_udf("n int, p array<long>, parity binary")
+    @F.pandas_udf("n int, p array<long>, parity binary, fp long")
     def prefix(texts: pd.Series) -> pd.DataFrame:
         used_worker()
         sets = [shingle_set(x, shingle) for x in texts]
         firsts = [prefix_of(x, similarity, *held.value).view(np.int64) for x in sets]
-        return pd.DataFrame({"n": [len(x) for x in sets], "p": firsts, "parity": [parity_of(x) for x in sets]})
-
-    rows = docs.select(
-        "doc_id", F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("row"), prefix(F.coalesce("text", F.lit(""))).alias("_p")
-    )
-    rows = materialise(rows.select("doc_id", "text_key", "row", "_p.*"), "prefixes")
-    copies = rows.groupBy("text_key").agg(F.min("row").alias("_first"), F.count("*").alias("_copies")).filter("_copies > 1")
-    copies = counted_side(materialise(copies.select("text_key", "_first"), "copies"))
-    texts = rows.join(copies, "text_key", "left").filter("_first is null or row = _first")
+        prints = np.fromiter(map(simhash_of, sets), np.uint64, len(sets)).view(np.int64)
+        return pd.DataFrame({"n": [len(x) for x in sets], "p": firsts, "parity": [parity_of(x) for x in sets], "fp": prints})
+
+    rows = docs.select("doc_id", _key().alias("key"), F.monotonically_increasing_id().alias("row"), prefix(F.coalesce("text", F.lit(""))).alias("_p"))
+    rows = materialise(rows.select("doc_id", "key", "row", "_p.*"), "prefixes")
+    copies = rows.groupBy("key").agg(F.min("row").alias("_first"), F.count("*").alias("_copies")).filter("_copies > 1")
+    copies = materialise(copies.select("key", "_first"), "copies")
+    keyed = lambda *names: spread_join(rows.select("key", "row", *names), copies, ["key"], "left").withColumn("text_key", F.coalesce("_first", "row"))
+    ids = materialise(keyed("doc_id").select("doc_id", "key", "text_key"), "ids")
+    texts = keyed("n", "p", "parity", "fp").filter("text_key = row")
     sent = texts.select("text_key", "n", F.posexplode("p").alias("at", "s"))
     sent = sent.select("text_key", "s", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("place"))
     centres = [f"c{k}" for k in range(CENTRES)]
@@ -477,38 +520,43 @@ def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         stars_of_runs, "text_key long, s long, place long, " + ", ".join(f"{c} long" for c in centres)
     )
     met = materialise(met, "met")
-    asked = counted_side(materialise(met.select("text_key").distinct(), "asked"))
-    sizes = materialise(texts.join(asked, "text_key", "left_semi").select("text_key", "n", "parity"), "sizes")
-    ids = materialise(rows.select("doc_id", "text_key"), "ids")
+    texts = materialise(texts.select("text_key", "key", "n", "parity", "fp"), "texts")
     discard(rows)
-    u, v = F.col("text_key"), F.col("_c")
-    pairs = met.select("text_key", *centres).distinct().select("text_key", F.explode(F.array(*centres)).alias("_c")).filter("text_key != _c")
-    pairs = materialise(pairs.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "pairs")
-    links = alike(docs, pairs, sizes, shingle, similarity)
-    parts = counted_side(materialise(connected_components(links), "parts"))
-    named = met.select("text_key", "s", "place").join(parts, met.text_key == parts.node, "left")
+    stars = met.select("text_key", *centres).distinct().select("text_key", F.explode(F.array(*centres)).alias("_c"))
+    pairs = materialise(_ordered(stars, "text_key", "_c").unionByName(ball_pairs(texts)).distinct(), "pairs")
+    links = alike(docs, pairs, texts, shingle, similarity)
+    parts = materialise(connected_components(links).withColumnRenamed("node", "text_key"), "parts")
+    named = spread_join(met.select("text_key", "s", "place"), parts, ["text_key"], "left")
     named = named.select("text_key", "s", "place", F.coalesce("component", "text_key").alias("part"))
     more = named.repartition(partitions(docs.sparkSession), "s").mapInArrow(_pairs_of_runs(similarity), "u long, v long")
     more = materialise(more.distinct().join(pairs, ["u", "v"], "left_anti"), "pairs")
     discard(met)
-    return ids, links.unionByName(alike(docs, more, sizes, shingle, similarity))
+    return ids, links.unionByName(alike(docs, more, texts, shingle, similarity))
 
 
 def keep_one_of_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Rows of ``docs``, all columns, with one document left of each group of near copies.
+    """Rows of ``docs``, all columns of any name, with one document left of each group of near copies.
 
-    Groups are components of ``near_copy_links``; equal texts are one. The row with the smallest
-    (doc_id, text hash) stays; of exact repeats of it, one.
+    Groups are components of ``near_copy_links``; equal texts are one, and a null text is an empty one. The
+    row with the smallest (doc_id, text hash) stays, a null id first; of exact repeats of it, one.
     """
     rows, links = near_copy_links(docs, shingle, similarity)
     parts = connected_components(materialise(links, "verified"))
-    by_text = rows.groupBy("text_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first_row"))
-    named = by_text.join(parts, by_text.text_key == parts.node, "left")
-    stay = named.groupBy(F.coalesce("component", "text_key").alias("part")).agg(F.min("first_row").alias("r"))
-    least = F.lit(-(1 << 63))
-    stay = materialise(stay.select(F.coalesce("r.doc_id", least).alias("__near_id"), F.col("r.text_key").alias("__near_key")), "stay")
-    keyed = docs.withColumns({"__near_id": F.coalesce("doc_id", least), "__near_key": F.xxhash64("text")})
-    left = keyed.join(counted_side(stay), ["__near_id", "__near_key"], "left_semi")
-    if not rows.groupBy("doc_id", "text_key").count().filter("count > 1").isEmpty():
-        left = left.dropDuplicates(["__near_id", "__near_key"])
-    return left.drop("__near_id", "__near_key")
+    copies = rows.groupBy("text_key").agg(F.count("*").alias("n")).filter("n > 1").select("text_key", F.col("text_key").alias("part"))
+    linked = parts.select(F.col("node").alias("text_key"), F.col("component").alias("part"))
+    grouped = materialise(linked.unionByName(copies.join(linked, "text_key", "left_anti")), "grouped")
+    named = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "key", "text_key")
+    members = materialise(spread_join(named, grouped, ["text_key"]).groupBy("part", "id", "key").agg(F.count("*").alias("n")), "members")
+    first = materialise(members.groupBy("part").agg(F.min(F.struct("id", "key")).alias("first")), "first")
+    judged = materialise(spread_join(members, first, ["part"]).withColumn("stays", F.struct("id", "key") == F.col("first")), "judged")
+    (name,) = fresh_names(docs, "_near")
+    by = [f"{name}_id", f"{name}_key"]
+    side = lambda condition: counted_side(
+        materialise(judged.filter(condition).select(F.col("id").alias(by[0]), F.col("key").alias(by[1])), "side")
+    )
+    keyed = docs.withColumns({by[0]: F.coalesce("doc_id", F.lit(-(1 << 63))), by[1]: _key()})
+    left = keyed.join(side("not stays"), by, "left_anti")
+    repeated = side("stays and n > 1")
+    if not repeated.isEmpty():
+        left = left.join(repeated, by, "left_anti").unionByName(left.join(repeated, by, "left_semi").dropDuplicates(by))
+    return left.select(*docs.columns)
