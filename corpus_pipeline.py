@@ -38,7 +38,7 @@ def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     With less memory for known pieces than by default, as executors still hold what other stages left.
     """
-    return tokens.token_digest(docs, tokenizer_path(), end_id=2, pieces=100_000, batch=2 << 20)
+    return tokens.token_digest(docs, tokenizer_path(), end_id=2, pieces=100_000, batch=2 << 20, shard_ids=1 << 20)
 
 
 STAGES = [
