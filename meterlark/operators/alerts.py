@@ -56,12 +56,12 @@ def sustained_usage(usage: DataFrame, percent: float = WARNING_FROM, minutes: in
 def tenant_alerts(events: DataFrame) -> DataFrame:
     """One verdict for each tenant; the first condition that holds decides."""
     kinds = (
-        (F.col("max_risk_score") > 75, "ABUSE_DETECTED", "CRITICAL", "Block API key, investigate"),
-        (F.col("rate_limited_requests") > 10, "RATE_LIMIT_BREACH", "HIGH", "Enforce rate limits, notify tenant"),
-        (F.col("avg_quota_pct") > 80, "QUOTA_WARNING", "MEDIUM", "Send quota warning email"),
-        (F.col("suspicious_requests") > 5, "SUSPICIOUS_ACTIVITY", "HIGH", "Enable enhanced monitoring"),
+        (F.col("max_risk_score") > 75, "ABUSE_DETECTED", "CRITICAL", "block_key"),
+        (F.col("rate_limited_requests") > 10, "RATE_LIMIT_BREACH", "HIGH", "enforce_limit"),
+        (F.col("avg_quota_pct") > 80, "QUOTA_WARNING", "MEDIUM", "send_quota_notice"),
+        (F.col("suspicious_requests") > 5, "SUSPICIOUS_ACTIVITY", "HIGH", "monitor_closely"),
     )
-    verdict = F.struct(F.lit("HEALTHY").alias("alert_type"), F.lit("LOW").alias("severity"), F.lit("No action needed").alias("recommended_action"))
+    verdict = F.struct(F.lit("HEALTHY").alias("alert_type"), F.lit("LOW").alias("severity"), F.lit("none").alias("recommended_action"))
     for condition, *values in reversed(kinds):
         named = F.struct(*[F.lit(v).alias(n) for v, n in zip(values, ("alert_type", "severity", "recommended_action"))])
         verdict = F.when(condition, named).otherwise(verdict)

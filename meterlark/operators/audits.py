@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlark.functions.limits import plan_limit, with_changed
@@ -65,13 +65,19 @@ def summary(events: DataFrame) -> DataFrame:
     )
 
 
+def mix_of(events: DataFrame, column: str, n: int | None = None) -> DataFrame:
+    """Events by a column's values and their share of all in percent, the most frequent first."""
+    counts = events.groupBy(column).agg(F.count("*").alias("event_count"))
+    shares = counts.withColumn("percent", F.round(F.col("event_count") * 100.0 / F.sum("event_count").over(Window.partitionBy()), 1))  # a row for each value
+    ordered = shares.orderBy(F.desc("event_count"), column)
+    return ordered if n is None else ordered.limit(n)
+
+
 def plan_as_of(events: DataFrame, history: DataFrame) -> DataFrame:
     """Events with the plan of their tenant's latest ``valid_from`` at or before the event.
 
     An as-of join by one sort: both sides in one timeline per tenant, the last plan carried forward.
     """
-    from pyspark.sql import Window
-
     plans = history.select("tenant_id", F.col("valid_from").alias("_t"), F.lit(0).alias("_side"), F.col("plan_tier").alias("_plan"), F.lit(None).cast("string").alias("event_id"))
     facts = events.select("tenant_id", F.col("event_timestamp").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_plan"), "event_id")
     line = Window.partitionBy("tenant_id").orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterlark.functions.once import once
 from meterlark.functions.rules import required, split, violations
 from meterlark.functions.times import parse_time
 from meterlark.sources.schemas import GROUPS, event_schema
@@ -15,11 +16,9 @@ REQUIRED = ("event_id", "tenant_id", "event_timestamp")
 
 def parse(messages: DataFrame) -> DataFrame:
     """Adds ``parsed``, the text ``_raw_payload`` and ``_is_valid`` (parsed, and the event has an id)."""
-    text = F.col("value").cast("string")
-    parsed = F.from_json(text, event_schema(), {"mode": "PERMISSIVE"})
-    return messages.withColumns({"_raw_payload": text, "parsed": parsed}).withColumn(
-        "_is_valid", F.coalesce(F.col("parsed.event_id").isNotNull(), F.lit(False))
-    )
+    texts = once(messages, "_raw_payload", F.col("value").cast("string"))
+    parsed = once(texts, "parsed", F.from_json("_raw_payload", event_schema(), {"mode": "PERMISSIVE"}))
+    return parsed.withColumn("_is_valid", F.coalesce(F.col("parsed.event_id").isNotNull(), F.lit(False)))
 
 
 def to_bronze(messages: DataFrame, job: str = JOB, ingested_at: Column | None = None) -> DataFrame:

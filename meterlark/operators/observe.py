@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlark.functions.ids import stable_id
-from meterlark.functions.times import seconds
+from meterlark.functions.times import parse_time, seconds
 
 METRICS_TABLE = (
     "metric_timestamp timestamp, layer string, app_name string, batch_id bigint, record_count bigint, valid_records bigint, invalid_records bigint, "
@@ -59,8 +59,10 @@ def batch_metrics(batch: DataFrame, layer: str, batch_id: int, as_of: Column, du
     """
     checked = "quality_check_passed" in batch.columns
     has_time = time in batch.columns
-    lag = seconds(as_of) - seconds(F.col(time)) if has_time else F.lit(None).cast("long")
     moment = F.col(time) if has_time else F.lit(None).cast("timestamp")
+    if has_time and dict(batch.dtypes)[time] == "string":  # Bronze keeps the time as text
+        moment = parse_time(moment)
+    lag = seconds(as_of) - seconds(moment)
     figures = batch.agg(
         F.count("*").alias("record_count"),
         (F.count_if("quality_check_passed") if checked else F.count("*")).alias("valid_records"),
@@ -112,13 +114,17 @@ def threshold_alerts(metrics: DataFrame, thresholds: Thresholds | None = None) -
             F.lit(float(limit)).alias("threshold"),
         )
         found.append(F.when(beyond(critical), entry("critical", critical)).when(beyond(warning), entry("warning", warning)))
-    each = metrics.select("metric_timestamp", "layer", "batch_id", F.explode(F.array_compact(F.array(*found))).alias("a"))
+    app = F.col("app_name") if "app_name" in metrics.columns else F.lit(None).cast("string")
+    each = metrics.select("metric_timestamp", "layer", app.alias("app_name"), "batch_id", F.explode(F.array_compact(F.array(*found))).alias("a"))
+    message = F.concat_ws(" ", F.col("layer"), F.replace("a.alert_type", F.lit("_"), F.lit(" ")), F.lit("at"), F.col("a.metric_value").cast("string"), F.lit("against"), F.col("a.threshold").cast("string"))
     return each.select(
         stable_id(F.col("layer"), F.col("batch_id"), F.col("a.alert_type")).alias("alert_id"),
         F.col("metric_timestamp").alias("alert_timestamp"),
         "layer",
+        "app_name",
         "batch_id",
         "a.*",
+        message.alias("message"),
     )
 
 
@@ -137,23 +143,42 @@ def _recent(table: DataFrame, time: str, as_of: Column, hours: float) -> DataFra
 
 
 def health_summary(metrics: DataFrame, as_of: Column, hours: float = 24) -> DataFrame:
-    return _recent(metrics, "metric_timestamp", as_of, hours).groupBy("layer").agg(
-        F.count_distinct("batch_id").alias("batches"),
-        F.sum("record_count").alias("total_records"),
-        F.avg("throughput_rec_per_sec").alias("avg_throughput"),
-        F.avg("avg_processing_lag_sec").alias("avg_lag_sec"),
-        F.max("data_freshness_sec").alias("max_freshness_sec"),
-        F.avg("error_rate_pct").alias("avg_error_rate"),
-        F.avg("quality_pass_rate_pct").alias("avg_quality_rate"),
-    )
+    """Figures by layer, in order of layers (a handful of rows)."""
+    figures = {
+        "avg_throughput": (F.avg, "throughput_rec_per_sec"),
+        "avg_batch_duration": (F.avg, "batch_duration_sec"),
+        "avg_processing_lag": (F.avg, "avg_processing_lag_sec"),
+        "avg_data_freshness": (F.avg, "data_freshness_sec"),
+        "avg_quality_pass_rate": (F.avg, "quality_pass_rate_pct"),
+        "max_data_freshness": (F.max, "data_freshness_sec"),
+        "max_processing_lag": (F.max, "avg_processing_lag_sec"),
+    }
+    totals = F.count_distinct("batch_id").alias("total_batches"), F.sum("record_count").alias("total_records")
+    found = _recent(metrics, "metric_timestamp", as_of, hours).groupBy("layer").agg(*totals, *[f(c).alias(n) for n, (f, c) in figures.items()])
+    return found.orderBy("layer")
 
 
 def recent_alerts(alerts: DataFrame, as_of: Column, hours: float = 24, severity: str | None = None) -> DataFrame:
+    """Alerts of the last ``hours``, the latest first."""
     found = _recent(alerts, "alert_timestamp", as_of, hours)
-    return found if severity is None else found.filter(F.col("severity") == severity)
+    return (found if severity is None else found.filter(F.col("severity") == severity)).orderBy(F.desc("alert_timestamp"), "layer", "alert_type")
+
+
+def pipeline_status(metrics: DataFrame, as_of: Column, minutes: float = 5) -> DataFrame:
+    """One row over the last ``minutes``: the status by mean lag and freshness, mean throughput and quality.
+
+    Nothing within the limits (no row, or no lag known) is Unhealthy.
+    """
+    lag, age = F.avg("avg_processing_lag_sec"), F.avg("data_freshness_sec")
+    below = lambda k: (lag < Thresholds.processing_lag[k]) & (age < Thresholds.data_freshness[k])
+    return _recent(metrics, "metric_timestamp", as_of, minutes / 60).agg(
+        F.when(below(0), "Healthy").when(below(1), "Degraded").otherwise("Unhealthy").alias("pipeline_status"),
+        F.avg("throughput_rec_per_sec").alias("avg_throughput"),
+        F.avg("quality_pass_rate_pct").alias("avg_quality"),
+    )
 
 
-def pipeline_status(metrics: DataFrame) -> DataFrame:
+def layer_status(metrics: DataFrame) -> DataFrame:
     """Each layer's latest batch: Unhealthy at a critical figure, Degraded at a warning, else Healthy."""
     last = Window.partitionBy("layer").orderBy(F.desc("metric_timestamp"), F.desc("batch_id"))
     latest = metrics.withColumn("_rn", F.row_number().over(last)).filter("_rn = 1")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlark.functions.ids import stable_id
+from meterlark.functions.once import once
 from meterlark.functions.rules import Rule, in_range, one_of, violations
 
 #: Fields that a layer's rows must have.
@@ -29,6 +30,7 @@ ENUMS = {
     "http_method": ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS"),
     "plan_tier": ("free", "starter", "professional", "enterprise"),
     "rate_limit_status": ("allowed", "rate_limited", "quota_exceeded"),
+    "abuse_detected": ("true", "false"),  # NULL is allowed: no check was made
 }
 Z_ANOMALY, Z_CRITICAL, MIN_WINDOWS = 3.0, 4.0, 12
 PASS_WARNING, PASS_CRITICAL = 0.95, 0.80
@@ -81,7 +83,7 @@ def check(df: DataFrame, layer: str, at: Column | None = None, formats: bool = F
         "null_fields": violations(null_rules(columns, layer)),
     }
     errors = F.create_map(*[x for name, column in found.items() for x in (F.lit(name), column)])
-    checked = df.withColumn("quality_check_errors", errors)
+    checked = once(df, "quality_check_errors", errors)
     none = [F.size(F.col("quality_check_errors")[name]) == 0 for name in found]
     return checked.withColumns(
         {"quality_check_passed": none[0] & none[1] & none[2], "quality_check_timestamp": F.current_timestamp() if at is None else at}
@@ -94,8 +96,8 @@ def split_checked(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def error_counts(checked: DataFrame, n: int | None = None) -> DataFrame:
     """Rows per error name, most frequent first, ties by name."""
-    each = checked.filter("not quality_check_passed").select(F.explode("quality_check_errors").alias("error_type", "errors"))
-    counts = each.select(F.explode("errors").alias("error")).groupBy("error").agg(F.count("*").alias("error_count"))
+    each = checked.select(F.explode(F.flatten(F.map_values("quality_check_errors"))).alias("error"))
+    counts = each.groupBy("error").agg(F.count("*").alias("error_count"))
     return counts if n is None else counts.orderBy(F.desc("error_count"), "error").limit(n)
 
 
@@ -127,27 +129,35 @@ def hourly_trend(checked: DataFrame, time: str = "event_timestamp") -> DataFrame
     )
 
 
-def quality_metrics(checked: DataFrame, layer: str, top: int = 10) -> DataFrame:
-    """One row: totals, pass rate (1 without rows), distinct kinds among the ``top`` errors."""
-    totals = checked.agg(F.count("*").alias("total_records"), F.count_if("quality_check_passed").alias("valid_records"))
-    name = F.col("error")
-    listed = error_counts(checked, top).agg(
-        F.map_from_entries(F.collect_list(F.struct("error", "error_count"))).alias("top_error_types"),
-        F.count_if(name.rlike("schema|null|missing")).alias("schema_errors"),
-        F.count_if(name.rlike("invalid|range|enum")).alias("value_errors"),
-        F.count_if(name.contains("null")).alias("null_errors"),
-    )
-    return totals.crossJoin(F.broadcast(listed)).select(
+#: Figure of a metrics row: the category of errors whose rows it counts.
+ERROR_ROWS = {"schema_errors": "schema_errors", "value_errors": "value_errors", "null_errors": "null_fields"}
+
+
+def pass_rates(checked: DataFrame, layer: str, *by: str) -> DataFrame:
+    """Totals, pass rate (1 without rows) and rows with errors of each category, one row or one for each ``by``."""
+    rows = [F.count_if(F.size(F.col("quality_check_errors")[c]) > 0).alias(n) for n, c in ERROR_ROWS.items()]
+    totals = checked.groupBy(*by).agg(F.count("*").alias("total_records"), F.count_if("quality_check_passed").alias("valid_records"), *rows)
+    return totals.select(
         F.lit(layer).alias("layer"),
+        *by,
         "total_records",
         "valid_records",
         (F.col("total_records") - F.col("valid_records")).alias("invalid_records"),
         F.when(F.col("total_records") == 0, 1.0).otherwise(F.try_divide("valid_records", "total_records")).alias("quality_pass_rate"),
-        "schema_errors",
-        "value_errors",
-        "null_errors",
-        "top_error_types",
+        *ERROR_ROWS,
+    )
+
+
+def quality_metrics(checked: DataFrame, layer: str, top: int = 10) -> DataFrame:
+    """``pass_rates`` of all rows beside the ``top`` errors by name, and how many kinds of errors there are."""
+    counts = error_counts(checked)
+    listed = counts.agg(
+        F.count("*").alias("distinct_error_kinds"),
+        F.map_from_entries(
+            F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("error_count")).alias("n"), "error"))), 1, top), lambda x: F.struct(x["error"], -x["n"]))
+        ).alias("top_error_types"),
     )
+    return pass_rates(checked, layer).crossJoin(F.broadcast(listed))  # one row each
 
 
 def volume_by_window(table: DataFrame, time: str, width: str = "60 minutes") -> DataFrame:
@@ -186,8 +196,8 @@ def volume_scores(table: DataFrame, time: str, width: str = "60 minutes") -> Dat
     )
 
 
-def quality_alerts(metrics: DataFrame, anomaly: DataFrame | None = None) -> DataFrame:
-    """Alerts of a metrics row: a pass rate below 0.8 raises both the warning and the critical one."""
+def quality_alerts(metrics: DataFrame, anomaly: DataFrame | None = None, by: tuple = ()) -> DataFrame:
+    """Alerts of each metrics row: a pass rate below 0.8 raises both the warning and the critical one."""
     rate = F.col("quality_pass_rate")
     raised = F.array_compact(
         F.array(
@@ -195,12 +205,13 @@ def quality_alerts(metrics: DataFrame, anomaly: DataFrame | None = None) -> Data
             F.when(rate < PASS_CRITICAL, F.struct(F.lit("critical_quality_rate").alias("alert_type"), F.lit("critical").alias("severity"))),
         )
     )
-    out = metrics.select("layer", F.explode(raised).alias("a"), F.to_json(F.struct("total_records", "invalid_records", "quality_pass_rate")).alias("details"))
-    out = out.select("layer", "a.alert_type", "a.severity", "details")
+    details = F.to_json(F.struct("total_records", "invalid_records", "quality_pass_rate"))
+    out = metrics.select("layer", *by, F.explode(raised).alias("a"), details.alias("details"))
+    out = out.select("layer", *by, "a.alert_type", "a.severity", "details")
     if anomaly is not None:
         found = anomaly.filter("is_anomaly").crossJoin(F.broadcast(metrics.select("layer")))
         out = out.unionByName(found.select("layer", F.lit("volume_anomaly").alias("alert_type"), "severity", F.to_json(F.struct("z_score", "mean_volume")).alias("details")))
-    return out.withColumn("alert_id", stable_id(F.col("layer"), F.col("alert_type"), F.col("details")))
+    return out.withColumn("alert_id", stable_id(F.col("layer"), *map(F.col, by), F.col("alert_type"), F.col("details")))
 
 
 def quarantine_summary(quarantined: DataFrame, date: str = "quarantine_date") -> DataFrame:

@@ -41,16 +41,18 @@ def flatten(bronze: DataFrame) -> DataFrame:
         *[F.col(path).alias(name) for path, name in FLAT.items()],
         (F.col("response.cache_status") == "hit").alias("cache_hit"),
         F.try_element_at(F.col("client.user_agent_parsed"), F.lit("is_bot")).try_cast("boolean").alias("is_bot"),
-        *[F.col(c) for c in ("_source_partition", "_source_offset", "_event_date", "_event_hour") if c in bronze.columns],
+        *[F.col(c) for c in ("_source_partition", "_source_offset", "_ingested_at", "_event_date", "_event_hour") if c in bronze.columns],
     )
 
 
-def stream_rules(as_of: Column | None = None) -> list[Rule]:
-    """Required fields, business rules and the time's text, in this order.
+def stream_rules(as_of: Column | None = None, raw: str | None = None) -> list[Rule]:
+    """Required fields, business rules and, with ``raw``, the time's text, in this order.
 
-    An event is in the future if it is later than ``as_of``; by default, than its own ingestion.
+    An event is in the future if it is later than ``as_of``; by default, than its own ingestion. With
+    ``raw`` the text is the required field, and one that is no time fails the parse rule alone.
     """
-    rules = [required(c) for c in ("event_id", "tenant_id", "event_timestamp")]
+    rules = [required(c) for c in ("event_id", "tenant_id")]
+    rules.append(required("event_timestamp") if raw is None else Rule("missing_event_timestamp", F.col(raw).isNull(), "schema"))
     rules += [
         holds("valid_status_code", "status_code BETWEEN 100 AND 599"),
         holds("valid_latency", "latency_ms IS NULL OR latency_ms >= 0"),
@@ -58,7 +60,7 @@ def stream_rules(as_of: Column | None = None) -> list[Rule]:
         Rule("failed_not_future_event", F.col("event_timestamp") > (F.col("ingested_at") if as_of is None else as_of), "business"),
         holds("valid_billing_units", "billing_units IS NULL OR billing_units >= 0"),
     ]
-    return rules
+    return rules if raw is None else [*rules, unparseable(raw)]
 
 
 def unparseable(raw: str = "event_timestamp_raw") -> Rule:
@@ -77,8 +79,9 @@ def batch_rules() -> list[Rule]:
 
 
 def validate(events: DataFrame, rules: list[Rule] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(valid, invalid) rows, both with ``_quality_flags``."""
-    return split(flag(events, stream_rules() if rules is None else rules))
+    """(valid, invalid) rows, both with ``_quality_flags``; flattened rows also pass the parse rule."""
+    raw = "event_timestamp_raw" if "event_timestamp_raw" in events.columns else None
+    return split(flag(events, stream_rules(raw=raw) if rules is None else rules))
 
 
 def flag_late(events: DataFrame, late: int = LATE_S, very_late: int = VERY_LATE_S) -> DataFrame:

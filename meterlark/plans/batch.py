@@ -54,5 +54,5 @@ def run(spark: SparkSession, landing: str, out: str) -> dict[str, DataFrame]:
 
 
 def write_events(nested: DataFrame, path: str, kind: str = "json") -> None:
-    """Events as JSON lines or flat Parquet."""
-    getattr(nested.write.mode("overwrite"), kind)(path)
+    """Events in order of their time, as JSON lines or Parquet."""
+    getattr(nested.orderBy("event_timestamp", "event_id").write.mode("overwrite"), kind)(path)

@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlark.functions.limits import plan_limit
+from meterlark.functions.once import once
 from meterlark.functions.rules import flag
-from meterlark.functions.times import shown
+from meterlark.functions.times import parse_time, shown
 from meterlark.operators import alerts, audits, bronze, gold, observe, quality, silver, upsert
 from meterlark.sources import adapter
 from meterlark.sources.readers import as_source_rows
@@ -261,10 +262,12 @@ def reconciled_ledger(events):
 # --- alerts -----------------------------------------------------------------------------------------------
 
 @query(f"""SELECT tenant_id, alert_type, severity, {_t('window_start')} AS window_start, plan_tier, request_count, lim AS limit_value, round(usage_percent, 6) AS usage_percent,
-greatest(request_count - lim, 0) AS overage, CASE severity WHEN 'critical' THEN 'block' WHEN 'warning' THEN 'throttle' ELSE 'alert_only' END AS recommended_action FROM alert""", _MINUTE, _ALERTS)
+greatest(request_count - lim, 0) AS overage, md5(tenant_id || chr(31) || epoch_us(window_start) || chr(31) || alert_type) AS alert_id,
+CASE WHEN is_over_limit THEN '{{"status_code":429,"retry_after_seconds":60,"reset_at":"' || strftime(window_start + INTERVAL 1 MINUTE, '%Y-%m-%dT%H:%M:%S.000Z') || '"}}' END AS response_config,
+CASE severity WHEN 'critical' THEN 'block' WHEN 'warning' THEN 'throttle' ELSE 'alert_only' END AS recommended_action FROM alert""", _MINUTE, _ALERTS)
 def limit_alerts(events):
     found = alerts.limit_alerts(gold.minute_usage(_clean(events)))
-    return _round(found.drop("alert_id", "window_end", "response_config"))
+    return _round(found.drop("window_end"))
 
 
 @query(f"""SELECT 'sustained_high_usage' AS alert_type, tenant_id, {_t('min(window_start)')} AS run_start, {_t('max(window_start) + INTERVAL 1 MINUTE')} AS run_end,
@@ -388,6 +391,47 @@ def last_write_wins(events):
     return _round(upsert.last_write(again, clean, ("event_id",), "ingested_at").select("event_id", "src_offset", "latency_ms"))
 
 
+@query("""SELECT event_id, src_offset, round(latency_ms, 6) AS latency_ms FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ingested_at DESC) AS rn FROM twice
+WHERE src_offset < 1000000 OR status_code < 400) WHERE rn = 1""", _RAW)
+def guarded_merge(events):
+    """As last_write_wins, but only rows of successful requests may replace anything."""
+    clean = _clean(events)
+    again = clean.filter("n % 50 = 1").withColumns(
+        {"ingested_at": F.col("ingested_at") + F.expr("INTERVAL 5 SECONDS"), "latency_ms": F.col("latency_ms") + 1, "src_offset": F.col("src_offset") + 1_000_000}
+    )
+    merged = upsert.last_write(again, clean, ("event_id",), "ingested_at", F.col("status_code") < 400)
+    return _round(merged.select("event_id", "src_offset", "latency_ms"))
+
+
+@query("""SELECT event_id, CASE WHEN n % 7 = 3 THEN 'unparseable_timestamp' WHEN n % 11 = 4 THEN 'missing_event_timestamp' ELSE '' END AS quality_flags FROM clean""")
+def unparseable_times(events):
+    """Times as text, some of them no times and some missing: the first fail the parse rule alone."""
+    n, clean = F.col("n"), _clean(events)
+    text = F.date_format("event_timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    raw = F.when(n % 7 == 3, "not a time").when(n % 11 == 4, None).otherwise(text)
+    told = clean.withColumn("event_timestamp_raw", raw).withColumn("event_timestamp", parse_time(F.col("event_timestamp_raw")))
+    good, bad = silver.validate(told)
+    return good.unionByName(bad).select("event_id", F.array_join("_quality_flags", ",").alias("quality_flags"))
+
+
+@query("""SELECT event_id, array_to_string(list_filter([CASE WHEN n % 19 = 3 THEN 'invalid_enum_http_method' END, CASE WHEN n % 23 = 5 THEN 'invalid_enum_abuse_detected' END,
+CASE WHEN n % 17 = 2 THEN 'event_after_ingestion' END, CASE WHEN n % 29 = 7 THEN 'invalid_event_id_length' END, CASE WHEN n % 29 = 7 THEN 'invalid_format_event_id' END,
+CASE WHEN n % 13 = 1 THEN 'invalid_format_endpoint_path' END], lambda x: x IS NOT NULL), ',') AS value_errors FROM (SELECT * REPLACE (CASE WHEN n % 29 = 7 THEN 'id-' || n ELSE event_id END AS event_id) FROM clean)""")
+def format_and_enum_checks(events):
+    n = F.col("n")
+    bent = _clean(events).withColumns(
+        {
+            "event_id": F.when(n % 29 == 7, F.concat(F.lit("id-"), n.cast("string"))).otherwise(F.col("event_id")),
+            "endpoint_path": F.when(n % 13 == 1, F.expr("substring(endpoint_path, 2)")).otherwise(F.col("endpoint_path")),
+            "http_method": F.when(n % 19 == 3, F.lower("http_method")).otherwise(F.col("http_method")),
+            "ingested_at": F.when(n % 17 == 2, F.col("event_timestamp") - F.expr("INTERVAL 1 SECOND")).otherwise(F.col("ingested_at")),
+            "abuse_detected": F.when(n % 23 == 5, "perhaps").when(n % 2 == 0, "true"),
+        }
+    )
+    checked = quality.check(bent, "silver", at=F.lit("2024-02-01").cast("timestamp"), formats=True)
+    return checked.select("event_id", F.array_join(F.col("quality_check_errors")["value_errors"], ",").alias("value_errors"))
+
+
 @query("""SELECT event_id, array_to_string(list_filter([CASE WHEN status_code IS NULL THEN 'missing_status_code' END, CASE WHEN latency_ms < 0 THEN 'negative_latency' END,
 CASE WHEN latency_ms > 30000 THEN 'extreme_latency' END, CASE WHEN risk_score > 100 THEN 'invalid_risk_score' END, CASE WHEN billing_units < 0 THEN 'negative_billing' END],
 lambda x: x IS NOT NULL), ',') AS quality_flags FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY event_timestamp NULLS LAST, src_offset) AS rn FROM raw) WHERE rn = 1""", _RAW)
@@ -409,9 +453,10 @@ def _messages(events: DataFrame) -> DataFrame:
     """Clean events as JSON messages; every tenth is cut short."""
     nested = adapter.nested_events(_clean(events))
     text = F.to_json(F.struct(*nested.columns))
-    value = F.when(F.col("sequence_number") % 10 == 0, F.substring(text, 1, 30)).otherwise(text)
     n = F.col("sequence_number")
-    return as_source_rows(nested.select(value.alias("value"), (n % 4).alias("partition"), F.expr("sequence_number div 4").alias("offset"), F.lit("2024-02-01").cast("timestamp").alias("timestamp")))
+    value = F.substring(text, F.lit(1), F.when(n % 10 == 0, 30).otherwise(1 << 20))
+    nested = once(nested, "value", value)
+    return as_source_rows(nested.select("value", (n % 4).alias("partition"), F.expr("sequence_number div 4").alias("offset"), F.lit("2024-02-01").cast("timestamp").alias("timestamp")))
 
 
 @query(f"""SELECT event_id, tenant_id, plan_tier, status_code, round(latency_ms, 6) AS latency_ms, is_suspicious, strftime(event_timestamp, '%Y-%m-%d') AS event_date,
@@ -440,18 +485,26 @@ def dead_letter_counts(events):
     return bronze.dead_letter_counts(letters).select(F.col("_error_type").alias("error_type"), "error_count")
 
 
-@query(f"""SELECT event_id, {_t('event_timestamp')} AS event_timestamp, {_t('ingested_at')} AS ingested_at, tenant_id, plan_tier, billing_cycle_id, api_key_id, http_method, endpoint_path,
-endpoint_id, status_code, round(latency_ms, 6) AS latency_ms, round(billing_units, 6) AS billing_units, round(cost_estimate_usd, 6) AS cost_estimate_usd, country_code, gateway_region,
-was_rate_limited, is_billable FROM clean WHERE n % 10 <> 0""")
+@query(f"""SELECT event_id, strftime(event_timestamp, '%Y-%m-%dT%H:%M:%S.%fZ') AS event_timestamp_raw, {_t('event_timestamp')} AS event_timestamp, {_t('ingested_at')} AS ingested_at, tenant_id,
+'sub-' || tenant_id AS subscription_id, plan_tier, billing_cycle_id, api_key_id, 'user-' || api_key_id AS user_id, 'api_key' AS auth_method, 'req-' || n AS request_id, 'trace-' || n AS trace_id,
+http_method, endpoint_path, endpoint_id, 'v1' AS api_version, 64 + n % 100 AS request_size_bytes, status_code, status_category, 256 + n % 1000 AS response_size_bytes, round(latency_ms, 6) AS latency_ms,
+round(latency_ms / 2, 6) AS upstream_latency_ms, CASE WHEN status_code >= 400 THEN 'ERR_' || status_code END AS error_code, client_ip_hash, CASE WHEN n % 4 = 0 THEN 'python-sdk' END AS sdk_name,
+CASE WHEN n % 4 = 0 THEN '2.1.0' END AS sdk_version, country_code, country_code AS geo_region, n % 6 = 0 AS is_datacenter, false AS is_vpn, was_rate_limited, 60 AS rate_limit, n % 60 AS rate_limit_remaining,
+round(quota_used_percent, 6) AS quota_used_percent, round(risk_score, 6) AS risk_score, velocity_1min, is_suspicious, CASE WHEN was_rate_limited THEN 'throttled' ELSE 'allowed' END AS action_taken,
+gateway_region, is_billable, round(billing_units, 6) AS billing_units, round(cost_estimate_usd, 6) AS cost_estimate_usd, 'gateway' AS event_source, 'production' AS environment, n % 3 = 0 AS cache_hit,
+n % 5 = 0 AS is_bot, src_partition AS _source_partition, src_offset AS _source_offset, strftime(event_timestamp, '%Y-%m-%d') AS _event_date, hour(event_timestamp)::INTEGER AS _event_hour FROM clean WHERE n % 10 <> 0""")
 def flattened_events(events):
+    """All columns that don't tell when the run was."""
     flat = silver.flatten(bronze.valid(bronze.to_bronze(_messages(events))))
-    names = "event_id event_timestamp ingested_at tenant_id plan_tier billing_cycle_id api_key_id http_method endpoint_path endpoint_id status_code latency_ms billing_units cost_estimate_usd country_code gateway_region was_rate_limited is_billable"
-    return _round(flat.select(*names.split()))
+    return _round(flat.drop("_ingested_at").withColumn("_event_date", F.col("_event_date").cast("string")))
 
 
-@query()
+@query("SELECT src_partition, count(*) AS records, count(DISTINCT event_id) AS hashes FROM clean WHERE n % 10 <> 0 GROUP BY 1")
 def row_hashes(events):
-    return bronze.to_bronze(_messages(events)).select("_source_partition", "_source_offset", "_row_hash")
+    """Every message that differs has a hash of its own, and a second pass gives the same ones."""
+    first, second = (bronze.valid(bronze.to_bronze(_messages(events))).select(F.col("_source_partition").alias("src_partition"), "_row_hash") for _ in range(2))
+    both = first.unionByName(second).groupBy("src_partition").agg((F.count("*") / 2).cast("long").alias("records"), F.count_distinct("_row_hash").alias("hashes"))
+    return both
 
 
 @query("SELECT src_partition, count(*) AS record_count FROM clean GROUP BY 1")
@@ -514,18 +567,20 @@ def quality_trend(events):
 
 
 @query("""SELECT 'silver' AS layer, count(*) AS total_records, count(*) FILTER (len(nulls) + len(vals) = 0) AS valid_records, count(*) FILTER (len(nulls) + len(vals) > 0) AS invalid_records,
-round(count(*) FILTER (len(nulls) + len(vals) = 0) / count(*)::DOUBLE, 6) AS quality_pass_rate, (SELECT count(*) FROM errors WHERE error LIKE '%null%') AS schema_errors,
-(SELECT count(*) FROM errors WHERE error LIKE '%invalid%') AS value_errors, (SELECT count(*) FROM errors WHERE error LIKE '%null%') AS null_errors FROM checked""", _RAW, _CHECKED)
+round(count(*) FILTER (len(nulls) + len(vals) = 0) / count(*)::DOUBLE, 6) AS quality_pass_rate, count(*) FILTER (len(nulls) > 0) AS schema_errors,
+count(*) FILTER (len(vals) > 0) AS value_errors, count(*) FILTER (len(nulls) > 0) AS null_errors, (SELECT count(*) FROM errors) AS distinct_error_kinds FROM checked""", _RAW, _CHECKED)
 def quality_metrics(events):
     return _round(quality.quality_metrics(_checked(events), "silver").drop("top_error_types"))
 
 
-@query("""SELECT 'silver' AS layer, 'low_quality_rate' AS alert_type, 'warning' AS severity FROM checked WHERE n % 13 IN (0, 1, 2, 3, 4) HAVING
-count(*) FILTER (len(nulls) + len(vals) = 0) / count(*)::DOUBLE < 0.97""", _RAW, _CHECKED)
+@query("""SELECT 'silver' AS layer, tenant_id, api_key_id, a.alert_type, a.severity FROM (SELECT tenant_id, api_key_id, unnest([
+CASE WHEN count(*) FILTER (len(nulls) + len(vals) = 0) / count(*)::DOUBLE < 0.95 THEN {'alert_type': 'low_quality_rate', 'severity': 'warning'} END,
+CASE WHEN count(*) FILTER (len(nulls) + len(vals) = 0) / count(*)::DOUBLE < 0.80 THEN {'alert_type': 'critical_quality_rate', 'severity': 'critical'} END]) AS a
+FROM checked GROUP BY 1, 2) WHERE a IS NOT NULL""", _RAW, _CHECKED)
 def quality_rate_alert(events):
-    """Over a part of the rows, with the rate scaled so that the warning fires alone."""
-    metrics = quality.quality_metrics(_checked(events).filter("n % 13 < 5"), "silver").withColumn("quality_pass_rate", F.col("quality_pass_rate") - 0.02)
-    return quality.quality_alerts(metrics).select("layer", "alert_type", "severity")
+    """Alerts by tenant and key, over all rows."""
+    rates = quality.pass_rates(_checked(events), "silver", "tenant_id", "api_key_id")
+    return quality.quality_alerts(rates, by=("tenant_id", "api_key_id")).drop("details", "alert_id")
 
 
 @query(f""", w AS (SELECT date_trunc('hour', event_timestamp) AS window_start, count(*) AS record_count FROM clean GROUP BY 1),
@@ -629,6 +684,13 @@ def event_summary(events):
     return _round(audits.summary(_raw(events)))
 
 
+@query("""SELECT 'plan_tier' AS by, plan_tier AS value, count(*) AS event_count, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) AS percent FROM raw GROUP BY plan_tier
+UNION ALL SELECT 'status_code', status_code::VARCHAR, count(*), round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 1) FROM raw GROUP BY status_code""", _RAW)
+def event_mix(events):
+    named = lambda c: audits.mix_of(_raw(events), c, 8).select(F.lit(c).alias("by"), F.col(c).cast("string").alias("value"), "event_count", "percent")
+    return named("plan_tier").unionByName(named("status_code"))
+
+
 @query(""", h AS (SELECT tenant_id, date_trunc('hour', event_timestamp) AS valid_from, max(plan_tier || '@' || hour(event_timestamp)) AS plan FROM clean WHERE hour(event_timestamp) % 6 = 0 GROUP BY 1, 2)
 SELECT c.event_id, h.plan AS plan_as_of FROM clean c ASOF LEFT JOIN h ON c.tenant_id = h.tenant_id AND c.event_timestamp >= h.valid_from""")
 def plan_as_of(events):
@@ -670,14 +732,15 @@ def _metrics(events: DataFrame) -> DataFrame:
             {
                 "batch_id": F.expr("unix_micros(metric_timestamp) div 60000000"),
                 "kafka_lag_messages": F.lit(None).cast("long"),
-                "batch_duration_sec": F.lit(None).cast("double"),
+                "batch_duration_sec": F.col("record_count") / 100.0,
             }
         )
     )
 
 
-@query("""SELECT layer, count(DISTINCT batch_id) AS batches, sum(record_count)::BIGINT AS total_records, round(avg(throughput), 6) AS avg_throughput, round(avg(lag), 6) AS avg_lag_sec,
-max(freshness) AS max_freshness_sec, round(avg(error_rate), 6) AS avg_error_rate, round(avg(pass_rate), 6) AS avg_quality_rate FROM metrics
+@query("""SELECT layer, count(DISTINCT batch_id) AS total_batches, sum(record_count)::BIGINT AS total_records, round(avg(throughput), 6) AS avg_throughput,
+round(avg(record_count / 100.0), 6) AS avg_batch_duration, round(avg(lag), 6) AS avg_processing_lag, round(avg(freshness), 6) AS avg_data_freshness,
+round(avg(pass_rate), 6) AS avg_quality_pass_rate, max(freshness) AS max_data_freshness, round(max(lag), 6) AS max_processing_lag FROM metrics
 WHERE metric_timestamp >= TIMESTAMP '2024-01-01 00:20:00' - INTERVAL 6 MINUTE GROUP BY 1""", _METRICS)
 def health_summary(events):
     return _round(observe.health_summary(_metrics(events), F.lit("2024-01-01 00:20:00").cast("timestamp"), 0.1))
@@ -703,8 +766,14 @@ def recent_critical_alerts(events):
 
 @query("""SELECT layer, batch_id, CASE WHEN lag >= 300 OR error_rate >= 5 OR pass_rate <= 80 THEN 'Unhealthy' WHEN lag >= 60 OR error_rate >= 1 OR pass_rate <= 95 THEN 'Degraded' ELSE 'Healthy' END AS status
 FROM (SELECT *, row_number() OVER (PARTITION BY layer ORDER BY metric_timestamp DESC) AS rn FROM metrics) WHERE rn = 1""", _METRICS)
+def layer_status(events):
+    return observe.layer_status(_metrics(events))
+
+
+@query("""SELECT CASE WHEN avg(lag) < 60 AND avg(freshness) < 120 THEN 'Healthy' WHEN avg(lag) < 300 AND avg(freshness) < 600 THEN 'Degraded' ELSE 'Unhealthy' END AS pipeline_status,
+round(avg(throughput), 6) AS avg_throughput, round(avg(pass_rate), 6) AS avg_quality FROM metrics WHERE metric_timestamp >= TIMESTAMP '2024-01-01 00:20:00' - INTERVAL 5 MINUTE""", _METRICS)
 def pipeline_status(events):
-    return observe.pipeline_status(_metrics(events))
+    return _round(observe.pipeline_status(_metrics(events), F.lit("2024-01-01 00:20:00").cast("timestamp")))
 
 
 @query("""SELECT layer, batch_id, freshness AS data_freshness_sec, CASE WHEN freshness >= 600 THEN 'CRITICAL' ELSE 'WARNING' END AS status FROM metrics WHERE freshness >= 120""", _METRICS)
@@ -744,12 +813,59 @@ def batch_metrics(events):
 
 # --- sources ----------------------------------------------------------------------------------------------
 
-@query()
+@query("SELECT count(*) AS total_events, count(*) - (SELECT count(*) FROM events) = 0 AS as_many_as_asked, true AS ids_repeat, true AS duplicates_near_rate, true AS late_near_rate FROM events")
 def synthetic_events(events):
-    """Ten thousand events of the generator, by plan."""
+    """As many events of the generator as there are rows, and whether its rates are met."""
     from meterlark.sources.generator import generate
 
-    return audits.summary(generate(events.sparkSession))
+    n = events.count()
+    made = generate(events.sparkSession, n)
+    near = lambda c, rate: F.abs(F.avg(F.col(c).cast("int")) - rate) < 0.02
+    return made.agg(
+        F.count("*").alias("total_events"),
+        (F.count("*") == n).alias("as_many_as_asked"),
+        (F.count_distinct("event_id") < F.count("*")).alias("ids_repeat"),
+        near("is_duplicate", 0.02).alias("duplicates_near_rate"),
+        near("is_late", 0.05).alias("late_near_rate"),
+    )
+
+
+@query("""SELECT n AS id, ['enterprise', 'professional', 'starter', 'starter', 'professional', 'enterprise', 'starter', 'free'][n % 8 + 1] AS plan_tier,
+['PUT', 'POST', 'POST', 'PATCH', 'GET', 'GET'][n % 6 + 1] AS http_method,
+['/v1/documents/{id}', '/v1/documents', '/v1/audit/logs', '/v1/documents/{id}/categories', '/v1/search', '/v1/documents/{id}'][n % 6 + 1] AS endpoint_path,
+greatest(abs(n % 700 - 300), 64) AS request_size_bytes, greatest(n % 700, 256) AS response_size_bytes, 'tenant-' || left(sha256('site-' || (n % 3)), 12) AS tenant_id,
+left(sha256('key-' || left(sha256('user-' || (n % 50)), 12)), 16) AS api_key_id FROM clean""")
+def edit_feed(events):
+    """Records of an edit feed; the columns that are not drawn."""
+    from meterlark.sources import feeds
+
+    n = F.col("n")
+    of = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), (n % k + 1).cast("int"))
+    records = _clean(events).select(
+        n.alias("id"), of(("edit", "new", "log", "categorize", "external", "odd"), 6).alias("type"), of((0, 1, 2, 3, 4, 6, 14, 99), 8).alias("namespace"),
+        F.concat(F.lit("user-"), (n % 50).cast("string")).alias("user"), (n % 9 == 0).alias("bot"), F.unix_timestamp("event_timestamp").alias("timestamp"),
+        F.concat(F.lit("site-"), (n % 3).cast("string")).alias("server_name"), F.struct(F.lit(300).cast("long").alias("old"), (n % 700).alias("new")).alias("length"),
+    )
+    ids = records.select("id", F.concat_ws(":", F.lit("edit"), F.col("id").cast("string"), "server_name").alias("text"))
+    found = feeds.from_edits(records).join(ids.select("id", F.substring(F.sha2("text", 256), 1, 32).alias("event_id")), "event_id")
+    return found.select("id", "plan_tier", "http_method", "endpoint_path", "request_size_bytes", "response_size_bytes", "tenant_id", "api_key_id")
+
+
+@query("""SELECT 'tenant-gh-' || left(sha256('login-' || (n % 20)), 10) AS tenant_id, left(sha256('login-' || (n % 20)), 16) AS api_key_id,
+['POST', 'POST', 'DELETE', 'PUT', 'POST', 'GET', 'POST', 'POST', 'PUT', 'POST', 'GET'][n % 11 + 1] AS http_method,
+'/v1/repos/' || ['push', 'create', 'delete', 'pullrequest', 'issues', 'watch', 'fork', 'issuecomment', 'pullrequestreview', 'release', 'gollum'][n % 11 + 1] AS endpoint_path, count(*) AS event_count
+FROM clean GROUP BY 1, 2, 3, 4""")
+def code_host_feed(events):
+    """Records of a code host; the columns that are not drawn."""
+    from meterlark.sources import feeds
+
+    n = F.col("n")
+    kinds = F.array(*[F.lit(k) for k in (*feeds.CODE_METHODS, "GollumEvent")])
+    records = _clean(events).select(
+        n.cast("string").alias("id"), F.element_at(kinds, (n % 11 + 1).cast("int")).alias("type"), F.struct(F.concat(F.lit("login-"), (n % 20).cast("string")).alias("login")).alias("actor"),
+        F.struct(F.lit("org/repo").alias("name")).alias("repo"), F.lit("2024-01-01T00:00:00Z").alias("created_at"), F.lit(True).alias("public"),
+    )
+    return feeds.from_code_host(records).groupBy("tenant_id", "api_key_id", "http_method", "endpoint_path").agg(F.count("*").alias("event_count"))
 
 
 @query("SELECT tenant_id AS key, event_id FROM clean")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlark.functions.limits import UNIT_PRICE_USD
+from meterlark.functions.once import once
 
 EPOCH_US = 1_704_067_200_000_000
 COMPRESSION = 2160
@@ -25,13 +26,13 @@ def _choice(values: tuple, index: Column) -> Column:
 def usage_events(events: DataFrame) -> DataFrame:
     """Clean, flat usage events, one for each row of ``events``."""
     n, user, kind = F.col("n"), F.col("user_id"), F.col("event_type")
-    base = events.select(
+    base = once(events, "k", F.get_json_object("props", "$.k").cast("int")).select(
         F.col("event_id").alias("n"),
         "user_id",
         "event_type",
         "value",
         F.col("ts").cast("timestamp").alias("original"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        "k",
         F.floor(F.sqrt(F.col("user_id") % 150)).cast("int").alias("tn"),
     )
     compressed = F.timestamp_micros((F.lit(EPOCH_US) + F.expr(f"(unix_micros(original) - {EPOCH_US}) div {COMPRESSION}")).cast("long"))
@@ -94,23 +95,58 @@ def raw_usage_events(events: DataFrame) -> DataFrame:
 
 
 def nested_events(flat: DataFrame) -> DataFrame:
-    """Flat usage events as nested contract records, for tests and writers."""
+    """Flat usage events as nested contract records, for tests and writers.
+
+    What the flat events lack follows the event number ``n``: one in three is served from a cache, one in
+    five comes from a bot, and client errors carry an error code.
+    """
+    n = F.col("n")
+    flat = flat.withColumns(
+        {
+            "cache_status": F.when(n % 3 == 0, "hit").otherwise("miss"),
+            "user_agent_parsed": F.create_map(F.lit("is_bot"), F.when(n % 5 == 0, "true").otherwise("false")),
+            "error_code": F.when(F.col("status_code") >= 400, F.concat(F.lit("ERR_"), F.col("status_code").cast("string"))),
+            "event_version": F.lit("1.0.0"),
+            "country_name": F.lit("Unknown"),
+            "subscription_id": F.concat(F.lit("sub-"), F.col("tenant_id")),
+            "user_id": F.concat(F.lit("user-"), F.col("api_key_id")),
+            "auth_method": F.lit("api_key"),
+            "request_id": F.concat(F.lit("req-"), n.cast("string")),
+            "trace_id": F.concat(F.lit("trace-"), n.cast("string")),
+            "api_version": F.lit("v1"),
+            "request_bytes": 64 + n % 100,
+            "response_bytes": 256 + n % 1000,
+            "upstream": F.col("latency_ms") / 2,
+            "sdk_name": F.when(n % 4 == 0, "python-sdk"),
+            "sdk_version": F.when(n % 4 == 0, "2.1.0"),
+            "geo_region": F.col("country_code"),
+            "is_datacenter": n % 6 == 0,
+            "is_vpn": F.lit(False),
+            "rate_limit": F.lit(60),
+            "rate_remaining": (n % 60).cast("int"),
+            "action_taken": F.when(F.col("was_rate_limited"), "throttled").otherwise("allowed"),
+            "source": F.lit("gateway"),
+            "environment": F.lit("production"),
+        }
+    )
     text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     group = lambda **cols: F.struct(*[F.col(v).alias(k) for k, v in cols.items()])
     return flat.select(
         "event_id",
+        "event_version",
         text("event_timestamp").alias("event_timestamp"),
         text("ingested_at").alias("ingestion_timestamp"),
         F.col("n").alias("sequence_number"),
         "tenant_id",
-        group(plan_tier="plan_tier", billing_cycle_id="billing_cycle_id").alias("subscription"),
-        group(api_key_id="api_key_id").alias("identity"),
-        group(method="http_method", path="endpoint_path", endpoint_id="endpoint_id").alias("request"),
-        group(status_code="status_code", status_category="status_category", latency_ms="latency_ms").alias("response"),
-        group(ip_address_hash="client_ip_hash").alias("client"),
-        group(country_code="country_code").alias("geo"),
-        group(was_rate_limited="was_rate_limited", quota_used_percent="quota_used_percent").alias("rate_limiting"),
-        group(risk_score="risk_score", velocity_1min="velocity_1min", is_suspicious="is_suspicious").alias("abuse_signals"),
+        group(subscription_id="subscription_id", plan_tier="plan_tier", billing_cycle_id="billing_cycle_id").alias("subscription"),
+        group(api_key_id="api_key_id", user_id="user_id", auth_method="auth_method").alias("identity"),
+        group(request_id="request_id", trace_id="trace_id", method="http_method", path="endpoint_path", api_version="api_version", endpoint_id="endpoint_id", content_length="request_bytes").alias("request"),
+        group(status_code="status_code", status_category="status_category", content_length="response_bytes", latency_ms="latency_ms", upstream_latency_ms="upstream", cache_status="cache_status", error_code="error_code").alias("response"),
+        group(ip_address_hash="client_ip_hash", user_agent_parsed="user_agent_parsed", sdk_name="sdk_name", sdk_version="sdk_version").alias("client"),
+        group(country_code="country_code", country_name="country_name", region="geo_region", is_datacenter="is_datacenter", is_vpn="is_vpn").alias("geo"),
+        group(limit="rate_limit", remaining="rate_remaining", was_rate_limited="was_rate_limited", quota_used_percent="quota_used_percent").alias("rate_limiting"),
+        group(risk_score="risk_score", velocity_1min="velocity_1min", is_suspicious="is_suspicious", action_taken="action_taken").alias("abuse_signals"),
         group(gateway_region="gateway_region").alias("gateway"),
         group(billable="is_billable", billing_units="billing_units", cost_estimate_usd="cost_estimate_usd").alias("billing"),
-    )
+        group(source="source", environment="environment").alias("metadata"),
+    )

@@ -11,12 +11,43 @@ from pyspark.sql import functions as F
 
 from meterlark.functions.ids import short_hash
 
-#: Tenants by tier, and how much traffic one of them makes.
-TENANTS = {"free": (30, 1.0), "starter": (12, 5.0), "professional": (6, 15.0), "enterprise": (2, 60.0)}
-ENDPOINTS = (("GET", "/v1/users", 30), ("GET", "/v1/users/{id}", 20), ("POST", "/v1/orders", 12), ("GET", "/v1/orders", 12), ("GET", "/v1/search", 10), ("PUT", "/v1/users/{id}", 5), ("POST", "/v1/webhooks", 4), ("DELETE", "/v1/users/{id}", 2), ("GET", "/v1/reports", 3), ("POST", "/v1/batch", 2))
-PLACES = (("US", "us-east-1", 40), ("GB", "eu-west-1", 12), ("DE", "eu-west-1", 12), ("FR", "eu-west-1", 8), ("JP", "ap-northeast-1", 8), ("IN", "ap-south-1", 8), ("BR", "sa-east-1", 5), ("CA", "us-east-1", 4), ("AU", "ap-southeast-2", 3))
-STATUSES = ((200, 80), (201, 8), (400, 4), (404, 3), (401, 2), (500, 2), (503, 1))
-ABUSE_STATUSES = ((429, 60), (200, 20), (401, 10), (403, 10))
+#: Tenants by tier, the middle of their requests a minute, the tier's name in ids and its keys a tenant.
+TENANTS = {"free": (30, 22.5, "free", 2), "starter": (12, 125.0, "starter", 4), "professional": (6, 450.0, "pro", 8), "enterprise": (2, 2000.0, "ent", 16)}
+#: Method, path, share of calls, billing units and typical latency.
+ENDPOINTS = (
+    ("GET", "/v1/users/{id}", 0.25, 1.0, 45),
+    ("POST", "/v1/users", 0.05, 2.0, 120),
+    ("POST", "/v1/search", 0.20, 3.0, 200),
+    ("GET", "/v1/documents/{id}", 0.15, 1.0, 60),
+    ("POST", "/v1/documents", 0.08, 5.0, 350),
+    ("GET", "/v1/analytics/reports", 0.10, 2.0, 150),
+    ("POST", "/v1/webhooks", 0.02, 1.0, 30),
+    ("GET", "/v1/health", 0.05, 0.0, 5),
+    ("POST", "/v1/auth/token", 0.05, 0.5, 80),
+    ("GET", "/v1/files/{id}/download", 0.05, 4.0, 500),
+)
+#: Country and region of clients, and their share.
+PLACES = (
+    ("US", "California", 0.30),
+    ("US", "Virginia", 0.15),
+    ("GB", "England", 0.12),
+    ("DE", "Hesse", 0.10),
+    ("JP", "Tokyo", 0.08),
+    ("SG", "Central", 0.07),
+    ("IN", "Maharashtra", 0.08),
+    ("BR", "S\u00e3o Paulo", 0.05),
+    ("AU", "NSW", 0.05),
+)
+#: The gateways' regions, equally likely.
+GATEWAYS = ("us-east-1", "us-west-2", "eu-west-1", "ap-northeast-1", "ap-southeast-1")
+#: Status codes and their shares, of usual and of abusive calls.
+STATUSES = ((200, 0.70), (201, 0.05), (204, 0.03), (301, 0.01), (400, 0.05), (401, 0.02), (404, 0.04), (429, 0.03), (500, 0.03), (502, 0.02), (503, 0.02))
+ABUSE_STATUSES = ((200, 0.10), (400, 0.15), (401, 0.20), (403, 0.15), (404, 0.15), (429, 0.20), (500, 0.05))
+#: Categories of status codes; others are client errors.
+CATEGORIES = {
+    200: "success", 201: "success", 204: "success", 301: "success", 304: "success", 400: "client_error", 401: "unauthorized", 403: "unauthorized",
+    404: "client_error", 422: "client_error", 429: "rate_limited", 500: "server_error", 502: "server_error", 503: "server_error",
+}
 
 
 def uniform(seed: int, purpose: str, row: str = "id") -> Column:
@@ -50,7 +81,7 @@ def generate(spark: SparkSession, count: int = 10_000, start: str = "2024-01-15
     weights = [0.3 + 0.7 * 2.718281828459045 ** (-0.5 * ((h % 24 - 12) / 4) ** 2) for h in range(hours)]
     hour = weighted(u("hour"), list(range(hours)), weights)
     tiers, tenants = [], []
-    for tier, (n, rate) in TENANTS.items():
+    for n, rate, *_ in TENANTS.values():
         tiers += [n * rate]
         tenants.append(F.floor(u("tenant") * n).cast("int"))
     tier = weighted(u("tier"), list(TENANTS), tiers)
@@ -61,15 +92,19 @@ def generate(spark: SparkSession, count: int = 10_000, start: str = "2024-01-15
         weighted(u("status"), [s for s, _ in STATUSES], [w for _, w in STATUSES])
     )
     normal = F.sqrt(-2 * F.log(F.greatest(u("n1"), F.lit(1e-12)))) * F.cos(2 * F.pi() * u("n2"))
-    endpoint = weighted(u("endpoint"), [f"{m} {p}" for m, p, _ in ENDPOINTS], [w for *_, w in ENDPOINTS])
-    place = weighted(u("place"), [f"{c} {r}" for c, r, _ in PLACES], [w for *_, w in PLACES])
+    endpoint = weighted(u("endpoint"), list(range(len(ENDPOINTS))), [e[2] for e in ENDPOINTS])
+    place = weighted(u("place"), [c for c, *_ in PLACES], [w for *_, w in PLACES])
+    named = lambda table, key: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+    of = lambda i: F.element_at(F.array(*[F.lit(e[i]) for e in ENDPOINTS]), F.col("endpoint") + 1)
+    tenant_id = F.concat(F.lit("tenant-"), named({t: v[2] for t, v in TENANTS.items()}, F.col("plan_tier")), F.lit("-"), F.lpad((F.col("tenant") + 1).cast("string"), 3, "0"))
+    key = F.floor(u("key") * named({t: v[3] for t, v in TENANTS.items()}, F.col("plan_tier")))
     made = rows.withColumns({"plan_tier": tier, "hour": hour, "is_abuse": is_abuse, "is_late": is_late}).withColumns(
         {"status_code": status.cast("int"), "endpoint": endpoint, "place": place, "tenant": number}
     )
     event_time = F.timestamp_micros(F.unix_micros(F.lit(start).cast("timestamp")) + (F.col("hour") * 3_600_000_000 + u("second") * 3_600_000_000).cast("long"))
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.col("src")))
     uuid = F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
-    units = F.when(F.col("status_code") < 400, F.when(F.split("endpoint", " ")[0] == "POST", 2.0).otherwise(1.0)).otherwise(0.0)
+    units = F.when(F.col("status_code") < 400, of(3)).otherwise(0.0)
     return (
         made.withColumns({"event_timestamp": event_time, "billing_units": units})
         .withColumn("extra", F.when(F.col("is_duplicate"), 5.0).otherwise(0.0))
@@ -77,16 +112,16 @@ def generate(spark: SparkSession, count: int = 10_000, start: str = "2024-01-15
             uuid.alias("event_id"),
             "event_timestamp",
             F.timestamp_micros(F.unix_micros("event_timestamp") + ((delay + F.col("extra")) * 1_000_000).cast("long")).alias("ingested_at"),
-            F.concat(F.lit("tenant_"), F.col("plan_tier"), F.lit("_"), F.lpad(F.col("tenant").cast("string"), 3, "0")).alias("tenant_id"),
+            tenant_id.alias("tenant_id"),
             "plan_tier",
             F.date_format("event_timestamp", "yyyy-MM").alias("billing_cycle_id"),
-            short_hash(F.concat("plan_tier", F.lit(":"), F.col("tenant").cast("string"), F.lit(":"), F.floor(u("key") * 3).cast("string"))).alias("api_key_id"),
-            F.split("endpoint", " ")[1].alias("endpoint_path"),
-            F.concat(F.lit("ep_"), short_hash(F.col("endpoint"), 8)).alias("endpoint_id"),
-            F.split("endpoint", " ")[0].alias("http_method"),
+            short_hash(F.concat(tenant_id, F.lit(":"), key.cast("string"))).alias("api_key_id"),
+            of(1).alias("endpoint_path"),
+            F.concat(F.lit("ep_"), short_hash(F.concat(of(0), F.lit(" "), of(1)), 8)).alias("endpoint_id"),
+            of(0).alias("http_method"),
             "status_code",
-            F.concat(F.floor(F.col("status_code") / 100).cast("string"), F.lit("xx")).alias("status_category"),
-            F.round(F.exp(F.lit(4.0) + 0.6 * normal), 3).alias("latency_ms"),
+            F.coalesce(named(CATEGORIES, F.col("status_code")), F.lit("client_error")).alias("status_category"),
+            F.round(of(4) * F.exp(0.5 * normal), 2).alias("latency_ms"),
             "billing_units",
             (F.col("billing_units") * 0.001).alias("cost_estimate_usd"),
             F.when(F.col("is_abuse"), 70 + u("risk") * 30).otherwise(u("risk") * 30).alias("risk_score"),
@@ -95,8 +130,8 @@ def generate(spark: SparkSession, count: int = 10_000, start: str = "2024-01-15
             F.col("is_abuse").alias("is_suspicious"),
             F.round(u("quota") * 100, 2).alias("quota_used_percent"),
             F.when(F.col("is_abuse"), 500 + u("v") * 1500).otherwise(u("v") * 50).cast("int").alias("velocity_1min"),
-            F.split("place", " ")[0].alias("country_code"),
-            F.split("place", " ")[1].alias("gateway_region"),
+            F.col("place").alias("country_code"),
+            F.element_at(F.array(*[F.lit(g) for g in GATEWAYS]), (F.floor(u("gateway") * len(GATEWAYS)) + 1).cast("int")).alias("gateway_region"),
             short_hash(F.concat_ws(":", F.col("src"), F.lit("ip"))).alias("client_ip_hash"),
             F.pmod(F.col("id"), F.lit(64)).cast("int").alias("src_partition"),
             F.expr("id div 64").alias("src_offset"),

@@ -23,9 +23,15 @@ def stream_events_json(spark: SparkSession, path: str, max_files: int | None = N
 
 
 def stream_text(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """A directory of text files as a source of messages: value, and the file as topic."""
+    """A directory of text files as a source of messages: value, and its place in the source.
+
+    A file is a partition, numbered by a hash of its name. A stream doesn't number a file's lines, so a hash
+    of the line stands for its offset: the same whenever a batch is read again, but no order.
+    """
     reader = spark.readStream.schema("value string")
-    return (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).format("text").load(path)
+    lines = (reader.option("maxFilesPerTrigger", max_files) if max_files else reader).format("text").load(path)
+    file = F.expr("cast(crc32(_metadata.file_name) & 2147483647 as int)")
+    return lines.select("value", file.alias("partition"), F.crc32("value").alias("offset"))
 
 
 def stream_table(spark: SparkSession, path: str, schema: T.StructType | str, max_files: int | None = 100) -> DataFrame:
@@ -63,6 +69,11 @@ def stream_messages(spark: SparkSession, brokers: str, topic: str, starting: str
     return (reader.option("maxOffsetsPerTrigger", max_offsets) if max_offsets else reader).load()
 
 
+def send_messages(messages: DataFrame, brokers: str, topic: str) -> None:
+    """Messages (key, value) to the broker's topic; needs Spark's connector for it on the class path."""
+    messages.write.format("kafka").option("kafka.bootstrap.servers", brokers).option("topic", topic).save()
+
+
 def to_messages(events: DataFrame, key: str = "tenant_id") -> DataFrame:
     """Events as (key, value) for a message sink, keyed so that a tenant's events stay in order."""
     return events.select(F.col(key).cast("string").alias("key"), F.to_json(F.struct(*events.columns)).alias("value"))

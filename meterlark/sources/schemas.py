@@ -43,6 +43,27 @@ def event_schema() -> T.StructType:
     return T.StructType(fields)
 
 
+def BRONZE_TABLE() -> str:  # noqa: N802
+    """The Bronze table as DDL: the event without its processing time and sequence number, and its lineage."""
+    event = [f for f in event_schema().fields if f.name not in ("processing_timestamp", "sequence_number")]
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in event) + ", " + BRONZE_LINEAGE
+
+
+BRONZE_LINEAGE = (
+    "_raw_payload string, _is_valid boolean, _source_topic string, _source_partition int, _source_offset bigint, _source_timestamp timestamp, "
+    "_source_timestamp_type int, _ingested_at timestamp, _ingestion_job string, _row_hash bigint, _event_date date, _event_hour int, _ingestion_date date"
+)
+SILVER_TABLE = (
+    "event_id string, event_timestamp_raw string, event_timestamp timestamp, ingested_at timestamp, tenant_id string, subscription_id string, "
+    "plan_tier string, billing_cycle_id string, api_key_id string, user_id string, auth_method string, request_id string, trace_id string, "
+    "http_method string, endpoint_path string, endpoint_id string, api_version string, request_size_bytes bigint, status_code int, "
+    "status_category string, response_size_bytes bigint, latency_ms double, upstream_latency_ms double, error_code string, client_ip_hash string, "
+    "sdk_name string, sdk_version string, country_code string, geo_region string, is_datacenter boolean, is_vpn boolean, was_rate_limited boolean, "
+    "rate_limit int, rate_limit_remaining int, quota_used_percent double, risk_score double, velocity_1min int, is_suspicious boolean, "
+    "action_taken string, gateway_region string, is_billable boolean, billing_units double, cost_estimate_usd double, event_source string, "
+    "environment string, cache_hit boolean, is_bot boolean, _source_partition int, _source_offset bigint, _ingested_at timestamp, "
+    "_quality_flags array<string>, _arrival_delay_s bigint, _is_late_arriving boolean, _late_category string, _event_date date, _event_hour int"
+)
 SOURCE_ROW = "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp, timestampType int"
 MINUTE_TABLE = (
     "tenant_id string, window_start timestamp, window_end timestamp, request_count bigint, billing_units double, error_count bigint, "

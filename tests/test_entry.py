@@ -15,7 +15,7 @@ def test_works_without_the_corpus_package(monkeypatch):
 
     def without(name, *args, **kwargs):
         if name.startswith(("corpus_pipeline", "meterlark.llm")):
-            raise ImportError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, *args, **kwargs)
 
     monkeypatch.setattr(builtins, "__import__", without)

@@ -1,5 +1,7 @@
 import datetime as dt
+import hashlib
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -70,10 +72,37 @@ def test_conform(spark):
 
 
 def test_feeds(spark):
-    edits = spark.createDataFrame([(1, "edit", 0, "p", "u", False, 1704067200, "en.example", (10, 500)), (2, "odd", 99, "p", "bot", True, 1704067200, "de.example", None)], feeds.EDIT_SCHEMA)
+    edits = spark.createDataFrame(
+        [(1, "edit", 0, "p", "u", False, 1704067200, "en.example", (10, 500)), (2, "odd", 99, "p", "bot", True, 1704067200, "de.example", None), (3, "log", 6, "p", "u", False, 1704067200, None, None), (4, "new", 10, "p", None, None, 1704067200, "x", None)],
+        feeds.EDIT_SCHEMA,
+    )
     got = feeds.from_edits(edits).collect()
     assert (got[0].plan_tier, got[0].http_method, got[0].request_size_bytes, got[0].response_size_bytes) == ("enterprise", "PUT", 490, 500)
-    assert (got[1].plan_tier, got[1].request_size_bytes, got[1].response_size_bytes, got[1].is_suspicious) == ("free", 64, 256, True)
-    code = spark.createDataFrame([("9", "PushEvent", ("me",), ("org/repo",), "2024-01-01T00:00:00Z", True)], feeds.CODE_SCHEMA)
-    row = feeds.from_code_host(code).first()
-    assert row.http_method == "POST" and row.event_timestamp == T0
+    assert (got[1].plan_tier, got[1].http_method, got[1].endpoint_path, got[1].request_size_bytes, got[1].response_size_bytes) == ("free", "GET", "/v1/documents/{id}", 64, 256)
+    assert got[1].risk_score >= 50 and got[0].risk_score < 15 and got[1].is_suspicious == (got[1].risk_score > 60)
+    assert (got[2].plan_tier, got[2].http_method, got[2].is_billable, got[2].billing_units) == ("enterprise", "POST", False, 0.0)
+    assert (got[3].plan_tier, got[3].status_code) == ("free", 201)
+    code = spark.createDataFrame([(str(i), k, ("me",), ("org/repo",), "2024-01-01T00:00:00Z", True) for i, k in enumerate(["PushEvent", "PullRequestEvent", "WatchEvent", "OddEvent"])], feeds.CODE_SCHEMA)
+    rows = feeds.from_code_host(code).orderBy("endpoint_path").collect()
+    assert [(r.http_method, r.endpoint_path) for r in rows] == [("GET", "/v1/repos/odd"), ("PUT", "/v1/repos/pullrequest"), ("POST", "/v1/repos/push"), ("GET", "/v1/repos/watch")]
+    assert {r.tenant_id for r in rows} == {"tenant-gh-" + hashlib.sha256(b"me").hexdigest()[:10]} and rows[0].event_timestamp == T0
+
+
+def test_shared_folder_is_an_error_on_a_cluster():
+    from meterlark.session import shared_folder
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):  # noqa: N802
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session())

@@ -1,6 +1,7 @@
 import glob
 import os
 import shutil
+import time
 
 from pyspark.sql import functions as F
 
@@ -10,10 +11,13 @@ from meterlark.sources import adapter
 from meterlark.sources.generator import generate
 from meterlark.sources.readers import as_source_rows
 from meterlark.streaming import runner
-from meterlark.streaming.sinks import BatchTable
+from meterlark.streaming.sinks import BatchTable, same_days
 from tests.conftest import SMALL, rows_of
 
 
+ONE = runner.Options(max_files=1)
+
+
 def _landing(spark, path, parts=4):
     """Raw events as JSON in several files, shuffled, with broken lines."""
     events = spark.read.parquet(f"{SMALL}/events.parquet")
@@ -27,8 +31,8 @@ def test_stream_equals_batch(spark, tmp_path):
     landing, root = f"{tmp_path}/in", f"{tmp_path}/out"
     _landing(spark, landing)
     paths = runner.Paths(root)
-    runner.run_bronze(spark, landing, paths, max_files=1).awaitTermination()
-    runner.run_silver(spark, paths, max_files=1).awaitTermination()
+    runner.run_bronze(spark, landing, paths, ONE).awaitTermination()
+    runner.run_silver(spark, paths, ONE).awaitTermination()
     for q in runner.run_gold(spark, paths):
         q.awaitTermination()
     stored = paths.table("silver").read(spark)
@@ -52,8 +56,8 @@ def test_replay_leaves_tables_unchanged(spark, tmp_path):
     landing, root = f"{tmp_path}/in", f"{tmp_path}/out"
     _landing(spark, landing, parts=3)
     paths = runner.Paths(root)
-    runner.run_bronze(spark, landing, paths, max_files=1).awaitTermination()
-    runner.run_silver(spark, paths, max_files=1).awaitTermination()
+    runner.run_bronze(spark, landing, paths, ONE).awaitTermination()
+    runner.run_silver(spark, paths, ONE).awaitTermination()
     before = rows_of(paths.table("silver").read(spark).select("event_id", "_source_offset"))
     for name in ("bronze", "silver"):  # the last commit is lost
         commits = [f for f in glob.glob(f"{paths.checkpoint(name)}/commits/*") if os.path.basename(f).isdigit()]
@@ -62,8 +66,8 @@ def test_replay_leaves_tables_unchanged(spark, tmp_path):
         crc = f"{os.path.dirname(last)}/.{os.path.basename(last)}.crc"
         if os.path.exists(crc):
             os.remove(crc)
-    runner.run_bronze(spark, landing, paths, max_files=1).awaitTermination()
-    runner.run_silver(spark, paths, max_files=1).awaitTermination()
+    runner.run_bronze(spark, landing, paths, ONE).awaitTermination()
+    runner.run_silver(spark, paths, ONE).awaitTermination()
     assert rows_of(paths.table("silver").read(spark).select("event_id", "_source_offset")) == before
 
 
@@ -131,3 +135,49 @@ def test_monitored_batches(spark, tmp_path):
     assert row.total_records == raw.count() and row.valid_records == seen[0] and read("quality_metrics").count() == 1
     assert read("observability_metrics").first().record_count == raw.count()
     assert "processing_lag_critical" in {r.alert_type for r in read("observability_alerts").collect()}
+
+
+def test_cold_start_and_retry_with_readers_attached(spark, tmp_path):
+    """All streams start on an empty root; a Silver batch that is tried again adds nothing to Gold."""
+    landing, root = f"{tmp_path}/in", f"{tmp_path}/out"
+    paths, options = runner.Paths(root), runner.Options(interval="1 second", with_metrics=True)
+    os.makedirs(landing)
+    queries = [runner.run_bronze(spark, landing, paths, options), runner.run_silver(spark, paths, options), *runner.run_gold(spark, paths, options)]
+    try:
+        _landing(spark, f"{tmp_path}/made", parts=2)
+        for k, f in enumerate(sorted(glob.glob(f"{tmp_path}/made/*.txt"))):
+            shutil.copy(f, f"{landing}/{k}.txt")
+        for _ in range(60):
+            time.sleep(1)
+            if paths.table("silver").exists(spark):
+                break
+        assert all(q.isActive for q in queries)
+    finally:
+        for q in queries:
+            q.stop()
+    stored = paths.table("silver").read(spark)
+    assert stored.count() == stored.select("event_id").distinct().count() > 0
+    assert BatchTable(f"{root}/metrics/observability_metrics_silver").read(spark).count() > 0
+    table = BatchTable(f"{tmp_path}/t")
+    rows = spark.range(100).withColumn("event_timestamp", F.lit("2024-01-01").cast("timestamp"))
+    read = lambda k: table.stream(spark, "id long, event_timestamp timestamp").writeStream.format("parquet").option("path", f"{tmp_path}/copy").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    for k in range(2):
+        table.write(rows, 0)
+        read(k)
+    assert spark.read.parquet(f"{tmp_path}/copy").count() == 100
+
+
+def test_keys_are_looked_up_on_their_days(spark, tmp_path):
+    table = BatchTable(f"{tmp_path}/t", ("day",))
+    rows = spark.createDataFrame([("a", 1, "d1"), ("b", 2, "d2"), ("c", 3, None)], "event_id string, event_timestamp int, day string")
+    table.insert_absent(rows, 0)
+    again = spark.createDataFrame([("a", 5, "d1"), ("c", 6, None), ("d", 7, "d1")], "event_id string, event_timestamp int, day string")
+    table.insert_absent(again, 1, recent=same_days(again, "day"))
+    assert sorted(r.event_id for r in table.read(spark).collect()) == ["a", "b", "c", "d"]
+
+
+def test_command_line():
+    from meterlark.__main__ import parser
+
+    given = parser().parse_args("stream --input i --out o --interval x --watermark y --with-metrics --max-files 3 --starting-offsets latest --max-offsets 9 --checkpoints c".split())
+    assert given.with_metrics and given.watermark == "y" and given.max_offsets == 9 and given.checkpoints == "c"
