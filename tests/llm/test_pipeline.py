@@ -1,9 +1,13 @@
 import random
 import re
 
+from tokenizers import Tokenizer
+
 import corpus_pipeline
+from meterlark.llm import mixing
 from meterlark.llm.common import materialise
 from meterlark.llm.language import has_letter
+from meterlark.llm.queries import tokenizer_path
 from tests.conftest import SMALL
 from tests.llm.helpers import documents
 
@@ -17,6 +21,7 @@ def _words(text):
 def test_stages_take_effect(spark):
     docs = documents(spark).unionByName(spark.createDataFrame([(900, "... 123", "en", "src0", 7), (901, None, "en", "src1", 0)], documents(spark).schema))
     kept, names = docs, []
+    plain = Tokenizer.from_file(tokenizer_path())
     for name, stage in corpus_pipeline.STAGES:
         before, kept = kept, materialise(stage(spark, kept, SMALL), name)
         names.append(name)
@@ -24,12 +29,20 @@ def test_stages_take_effect(spark):
             assert before.count() - kept.count() == 2
             assert all(has_letter(r.text) for r in kept.collect())
         if name == "near_dedup":
-            assert kept.select("text").distinct().count() == kept.count() == before.select("text").distinct().count() - 0 or kept.count() < before.count()
+            assert sorted(r.doc_id for r in kept.collect()) == _stay([(r.doc_id, r.text) for r in before.orderBy("doc_id").collect()])
         if name == "decontamination":
             items = [_words(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
             windows = {tuple(w[i : i + 10]) for w in items if w for i in range(max(1, len(w) - 9))}
             hit = lambda t: any(tuple(w[i : i + 10]) in windows for w in [_words(t)] for i in range(len(w)))
             assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in before.collect() if not hit(r.text)}
+        if name == "source_mixing":
+            copies, plan = kept.groupBy("doc_id").count().toPandas().set_index("doc_id")["count"], mixing.rated(before).toPandas().set_index("doc_id")
+            assert (plan.copies[plan.copies > 0].sort_index() == copies.sort_index()).all()
+            by = plan.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+            assert (abs(by.taken - by.target) <= 0.02 * by.target + 50).all()
+        if name == "token_output":
+            ids = [len(plain.encode(r.text, add_special_tokens=False).ids) + 1 for r in before.orderBy("doc_id").collect()]
+            assert [r.n_tokens for r in kept.orderBy("doc_id", "start").collect()] == ids
         if name != "token_output":
             assert kept.columns == docs.columns
     assert names == ["language_id", "near_dedup", "decontamination", "source_mixing", "token_output"]
