@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import alnum_words, counted_side, fresh_names, materialise
+from meterlark.llm.common import alnum_words, counted_side, discard, fresh_names, materialise
 
 WINDOW = 10
 
@@ -194,6 +194,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     hit = counted_side(materialise(contamination(index, items, window).select("row"), "rows"))
     found = index.docs.select("row", "d", "h").join(hit, "row", "left_semi")
     found = counted_side(materialise(found.select(*[F.col(c).alias(name + c) for c in _identity()]), "contaminated"))
+    discard(index.docs, index.postings, index.dictionary)
     keyed = docs.withColumns({name + n: c for n, c in _identity().items()})
     return keyed.join(found, [name + n for n in _identity()], "left_anti").select(*docs.columns)
 
