@@ -310,9 +310,13 @@ def simhash_of(shingles: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(shingles), bitorder="little").view(np.uint64)[0])
 
 
-def parity_of(shingles: np.ndarray) -> bytes:
-    """Bits that each shingle flips by its hash, about four bits a shingle, a power of two of them."""
-    bits = 1 << min(20, max(8, (2 * len(shingles)).bit_length()))
+#: Bits of the parities that travel with each shingle of a text, the same number for all texts.
+SKETCH = 512
+
+
+def parity_of(shingles: np.ndarray, bits: int | None = None) -> bytes:
+    """Bits that each shingle flips by its hash: ``bits``, or about four a shingle, a power of two of them."""
+    bits = bits or 1 << min(20, max(8, (2 * len(shingles)).bit_length()))
     odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -348,6 +352,8 @@ def common_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 CENTRES = 3
 #: Texts of a run that are compared with all others at once.
 BLOCK = 1_024
+#: Pairs whose sketches are compared at once.
+COMPARED = 1 << 16
 
 
 def _runs(batches) -> pd.DataFrame | None:
@@ -390,7 +396,11 @@ def stars_of_runs(batches):
 
 def _pairs_of_runs(similarity: float):
     def pairs(batches):
-        """All pairs of texts of one shingle in different components that can be ``similarity`` alike."""
+        """All pairs of texts of one shingle in different components that can be ``similarity`` alike.
+
+        Sizes and places rule pairs out first, then sketches: the number of bits that differ is a lower bound
+        of the number of shingles that do.
+        """
         import pyarrow as pa
 
         rows = _runs(batches)
@@ -399,6 +409,7 @@ def _pairs_of_runs(similarity: float):
             return
         s, key, part, place = (rows[n].to_numpy() for n in ("s", "text_key", "part", "place"))
         n, at = (place >> 32).astype(np.float64), (place & 0xFFFFFFFF).astype(np.float64)
+        sketch = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
         starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
         found, size = [], 0
 
@@ -415,6 +426,12 @@ def _pairs_of_runs(similarity: float):
                 # Of the shared shingles the first in order is this one, or the pair meets at that one too.
                 can = (x < y) & (part[x] != part[y]) & (np.minimum(n[x] - at[x], n[y] - at[y]) >= need)
                 i, j = np.nonzero(can)
+                most = (1 - similarity) / (1 + similarity) * (n[c + i] + n[c + j]) + 1e-6
+                near = np.zeros(len(i), bool)
+                for t in range(0, len(i), COMPARED):
+                    k = slice(t, t + COMPARED)
+                    near[k] = np.bitwise_count(sketch[c + i[k]] ^ sketch[c + j[k]]).sum(axis=1) <= most[k]
+                i, j = i[near], j[near]
                 if len(i):
                     u, v = key[c + i], key[c + j]
                     found.append(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1))
@@ -498,13 +515,14 @@ def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
 
-    @F.pandas_udf("n int, p array<long>, parity binary, fp long")
+    @F.pandas_udf("n int, p array<long>, parity binary, sketch binary, fp long")
     def prefix(texts: pd.Series) -> pd.DataFrame:
         used_worker()
         sets = [shingle_set(x, shingle) for x in texts]
         firsts = [prefix_of(x, similarity, *held.value).view(np.int64) for x in sets]
         prints = np.fromiter(map(simhash_of, sets), np.uint64, len(sets)).view(np.int64)
-        return pd.DataFrame({"n": [len(x) for x in sets], "p": firsts, "parity": [parity_of(x) for x in sets], "fp": prints})
+        parities = {"parity": [parity_of(x) for x in sets], "sketch": [parity_of(x, SKETCH) for x in sets]}
+        return pd.DataFrame({"n": [len(x) for x in sets], "p": firsts, **parities, "fp": prints})
 
     rows = docs.select("doc_id", _key().alias("key"), F.monotonically_increasing_id().alias("row"), prefix(F.coalesce("text", F.lit(""))).alias("_p"))
     rows = materialise(rows.select("doc_id", "key", "row", "_p.*"), "prefixes")
@@ -512,7 +530,7 @@ def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
     copies = materialise(copies.select("key", "_first"), "copies")
     keyed = lambda *names: spread_join(rows.select("key", "row", *names), copies, ["key"], "left").withColumn("text_key", F.coalesce("_first", "row"))
     ids = materialise(keyed("doc_id").select("doc_id", "key", "text_key"), "ids")
-    texts = keyed("n", "p", "parity", "fp").filter("text_key = row")
+    texts = keyed("n", "p", "parity", "sketch", "fp").filter("text_key = row")
     sent = texts.select("text_key", "n", F.posexplode("p").alias("at", "s"))
     sent = sent.select("text_key", "s", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("at")).alias("place"))
     centres = [f"c{k}" for k in range(CENTRES)]
@@ -520,14 +538,15 @@ def near_copy_links(docs: DataFrame, shingle: int = 5, similarity: float = 0.8)
         stars_of_runs, "text_key long, s long, place long, " + ", ".join(f"{c} long" for c in centres)
     )
     met = materialise(met, "met")
-    texts = materialise(texts.select("text_key", "key", "n", "parity", "fp"), "texts")
+    texts = materialise(texts.select("text_key", "key", "n", "parity", "sketch", "fp"), "texts")
     discard(rows)
     stars = met.select("text_key", *centres).distinct().select("text_key", F.explode(F.array(*centres)).alias("_c"))
     pairs = materialise(_ordered(stars, "text_key", "_c").unionByName(ball_pairs(texts)).distinct(), "pairs")
     links = alike(docs, pairs, texts, shingle, similarity)
     parts = materialise(connected_components(links).withColumnRenamed("node", "text_key"), "parts")
-    named = spread_join(met.select("text_key", "s", "place"), parts, ["text_key"], "left")
-    named = named.select("text_key", "s", "place", F.coalesce("component", "text_key").alias("part"))
+    parted = texts.select("text_key", "sketch").join(parts, "text_key", "left")
+    named = met.select("text_key", "s", "place").join(parted, "text_key")
+    named = named.select("text_key", "s", "place", "sketch", F.coalesce("component", "text_key").alias("part"))
     more = named.repartition(partitions(docs.sparkSession), "s").mapInArrow(_pairs_of_runs(similarity), "u long, v long")
     more = materialise(more.distinct().join(pairs, ["u", "v"], "left_anti"), "pairs")
     discard(met)
