@@ -620,3 +620,27 @@ def test_native_operators_run_no_python(spark):
     for name in ("op2_source_mixing", "op3_license_scan", "op8_decontamination", "op10_secret_scan"):
         plan = queries.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_sketches_lose_no_pair():
+    """The pairs of one shingle's run hold every pair that is 0.8 alike, and few others."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (6, 40, 300, 2500):
+        base = rng.integers(1, 1 << 63, n).astype(np.uint64)
+        for change in (0.0, 0.02, 0.1, 0.15, 0.3, 0.9):
+            cut = int(n * change)
+            sets.append(np.unique(np.r_[np.uint64(0), base[cut:], rng.integers(1, 1 << 63, cut).astype(np.uint64)]))
+    key = np.arange(len(sets))
+    rows = pa.RecordBatch.from_pydict({
+        "text_key": key, "s": np.zeros(len(sets), np.int64), "place": np.array([len(x) << 32 for x in sets]),
+        "sketch": [simhash.parity_of(x, simhash.SKETCH) for x in sets], "part": key,
+    })
+    found = {(u, v) for b in simhash._pairs_of_runs(0.8)([rows]) for u, v in zip(*(c.to_pylist() for c in b.columns))}
+    same = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    true = {(i, j) for i in key.tolist() for j in range(i) if same(sets[i], sets[j]) >= 0.8}
+    assert true and true <= found
+    assert not any(same(sets[i], sets[j]) < 0.3 for i, j in found if max(len(sets[i]), len(sets[j])) in range(30, 400))
