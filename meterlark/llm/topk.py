@@ -7,10 +7,11 @@ written to a table (``build_index``); ``search`` reads it for any number of quer
 
 Segments are added to the queries' accumulators level by level. What is left of a vector can change its
 score by at most the Cauchy-Schwarz product of the query's norm and the norm of its unprocessed
-components, so each accumulator has bounds, and a vector whose upper bound is below the k-th best lower
-bound is out for good. A query stops, whatever the others do, once these bounds prove that its possible
-members cost less to rescore than its remaining postings cost to read; it skips those segments.
-Possible members are rescored exactly in integers. Bounds include the rounding error of the
+components, so each accumulator has an upper bound. From a fifth of the postings on, the rows that lead their
+part of the accumulators are scored exactly; k of them reach the k-th best of these scores, and a vector whose
+upper bound is below it is out for good. A query stops, whatever the others do, once these bounds prove that
+its possible members cost less to rescore than its remaining postings to read; it skips those segments.
+Possible members are rescored exactly, as whole numbers. Bounds include the rounding error of the
 accumulators, so they hold for components of any size.
 
 Of equal vectors only the k + 1 smallest ids can be members (ties go to smaller ids, and a query's own id
@@ -43,6 +44,8 @@ SHARD_ROWS, BLOCK_QUERIES = 8192, 8192
 #: Queries whose accumulators a task holds at once.
 AT_ONCE = 128
 LEVELS = 16
+#: Share of the postings that is read before bounds are tried, and parts of the accumulators whose leaders are scored for it.
+FLOOR_FROM, LEADERS = 0.2, 64
 _LONG = (1 << 63) - 1
 
 
@@ -80,6 +83,8 @@ class Shard:
         # norm of what is left after each level, rounded up
         self.left = np.sqrt(np.cumsum(squares[::-1], axis=0)[::-1][1:]) * (1 + 1e-9)
         self.norms = np.sqrt(squares.sum(axis=0)) * (1 + 1e-9)
+        self.most = float(size.max(initial=0))
+        self.whole = None  # the vectors as floats, once they are rescored
         self.read = 0  # postings added to an accumulator, for tests and figures
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,39 +95,83 @@ class Shard:
 
     def _search(self, query_ids: np.ndarray, queries: np.ndarray, k: int):
         n, out = len(self.ids), []
-        weight = queries.astype(np.float64)
-        reach, asking = np.linalg.norm(weight, axis=1) * (1 + 1e-9), np.arange(len(queries))
-        total = np.zeros((n, len(queries)))
-        own = self.ids[:, None] == query_ids[None, :]
+        # whole numbers of 15 bits have accumulators of 4 bytes, which the bounds allow for
+        small = max(self.most, float(np.abs(queries.astype(np.float64)).max(initial=0))) < 1 << 15
+        kind, unit = (np.float32, 2.0**-21) if small else (np.float64, 2.0**-50)
+        impacts, weight = self.impacts.astype(kind), np.ascontiguousarray(queries.T.astype(kind))
+        reach, asking = np.linalg.norm(queries.astype(np.float64), axis=1) * (1 + 1e-9), np.arange(len(queries))
         # rounding error of the sums; it decides nothing where components are small
-        error = 2.0**-50 * (self.dim + 4) * self.norms
+        error = unit * (self.dim + 8) * self.norms
+        total = np.zeros((n, len(queries)), kind)
+        own = self._own(query_ids)
+        total[own] = -np.inf
+        floor = np.full(len(queries), -np.inf)
         for level in range(self.levels):
             for d in range(self.dim):
                 a, b = self.starts[level * self.dim + d : level * self.dim + d + 2]
                 if a < b:
-                    total[self.rows[a:b]] += self.impacts[a:b, None] * weight[None, asking, d]
+                    added = np.multiply.outer(impacts[a:b], weight[d])
+                    added += total.take(self.rows[a:b], axis=0)
+                    total[self.rows[a:b]] = added
             read = self.starts[(level + 1) * self.dim]
             self.read += int(read - self.starts[level * self.dim]) * len(asking)
-            slack = (self.left[level] + error)[:, None] * reach[None, asking]
-            low = np.where(own, -np.inf, total - slack)
-            floor = np.partition(low, n - k, axis=0)[n - k] if n > k else np.full(len(asking), -np.inf)
-            possible = (total + slack >= floor) & ~own
             rest = len(self.rows) - read
+            if rest and read < FLOOR_FROM * len(self.rows):
+                continue
+            floor = np.maximum(floor, self._floor(total, own, queries[asking], reach[asking], k))
+            bound = np.multiply.outer((self.left[level] + error).astype(kind), reach[asking].astype(kind))
+            bound += total
+            possible = bound >= np.nextafter(floor.astype(kind), kind(-np.inf))
+            possible[own] = False
             done = possible.sum(axis=0) * self.dim <= rest if rest else np.ones(len(asking), bool)
             for j in np.flatnonzero(done):
                 who = np.flatnonzero(possible[:, j])
                 score = self._scores(who, queries[asking[j]])
+                if len(who) > k and score.dtype != object:
+                    enough = score >= np.partition(score, len(who) - k)[len(who) - k]
+                    who, score = who[enough], score[enough]
                 best = np.lexsort((self.ids[who], -score if score.dtype != object else [-x for x in score]))[:k]
                 out.append((np.full(len(best), asking[j]), self.ids[who[best]], score[best].astype(np.int64)))
             if done.all():
                 break
-            asking, total, own = asking[~done], total[:, ~done], own[:, ~done]
+            if done.any():
+                asking, floor = asking[~done], floor[~done]
+                total, weight = np.ascontiguousarray(total[:, ~done]), np.ascontiguousarray(weight[:, ~done])
+                own = self._own(query_ids[asking])
         out.sort(key=lambda x: x[0][0] if len(x[0]) else -1)
         return tuple(np.concatenate([np.zeros(0, np.int64)] + [x[i] for x in out]) for i in range(3))
 
+    def _own(self, query_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, query) of the rows that have a query's id."""
+        by = np.argsort(self.ids, kind="stable")
+        a, b = (np.searchsorted(self.ids[by], query_ids, side) for side in ("left", "right"))
+        at = np.repeat(np.arange(len(query_ids)), b - a)
+        return by[np.arange(len(at)) - np.repeat(np.cumsum(b - a) - b, b - a)], at
+
+    def _floor(self, total: np.ndarray, own: tuple, queries: np.ndarray, reach: np.ndarray, k: int) -> np.ndarray:
+        """A score that k candidates of each query reach for certain: the k-th of rows that lead their part of the accumulators."""
+        n, m = total.shape
+        parts = min(n, max(LEADERS, 4 * k))
+        if parts < k:
+            return np.full(m, -np.inf)
+        size = n // parts
+        lead = total[: parts * size].reshape(parts, size, m).argmax(axis=1) + (np.arange(parts) * size)[:, None]
+        sums = np.einsum("pmd,md->pm", self.vectors[lead].astype(np.float64), queries.astype(np.float64))
+        sums -= 2.0**-50 * (self.dim + 8) * self.norms[lead] * reach
+        sums[np.isneginf(total[lead, np.arange(m)])] = -np.inf
+        found = np.partition(sums, parts - k, axis=0)[parts - k]
+        # scores beyond a long are equal to the nearest one
+        return np.where(found <= -(2.0**63), -np.inf, np.minimum(found, 2.0**63 - 1024))
+
     def _scores(self, who: np.ndarray, query: np.ndarray) -> np.ndarray:
+        most = self.most * float(np.abs(query.astype(np.float64)).max(initial=0)) * self.dim
+        if most < 2.0**53:  # sums of whole numbers that are exact
+            kind = np.float32 if most < 2.0**24 else np.float64
+            if self.whole is None or self.whole.dtype != kind:
+                self.whole = self.vectors.astype(kind)
+            return (self.whole.take(who, axis=0) @ query.astype(kind)).astype(np.int64)
         own = self.vectors[who].astype(np.int64)
-        if float(np.abs(own.astype(np.float64)).max(initial=0)) * float(np.abs(query.astype(np.float64)).max(initial=0)) * self.dim < 2.0**62:
+        if most < 2.0**62:
             return own @ query
         exact = [sum(int(x) * int(y) for x, y in zip(v, query)) for v in own]
         return np.array([max(-_LONG - 1, min(_LONG, x)) for x in exact], object)

@@ -82,6 +82,25 @@ def test_shard_search_is_exact(monkeypatch, at_once):
     assert shard.read < 400 * len(shard.rows)  # queries stop before the last segment
 
 
+def test_queries_stop_by_scores_of_leaders():
+    """Directions without any order: exact scores of the leaders let queries stop before half of the postings."""
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(2000, 64))
+    data = np.floor(256 * data / np.linalg.norm(data, axis=1, keepdims=True)).astype(np.int64)
+    ids, ask = np.arange(2000), np.arange(0, 2000, 50)
+    shard = topk.Shard(ids, data.astype(np.int16))
+    at, who, score = shard.search(ask, data[ask], 5)
+    for k, q in enumerate(ask):
+        assert [(-int(s), int(i)) for s, i in zip(score[at == k], who[at == k])] == _best(data, ids, q)
+    assert shard.read < 0.5 * len(ask) * len(shard.rows)
+
+
+def test_ids_of_queries_on_many_rows_or_none():
+    ids, data = np.array([3, 1, 3, 2, 3, 8]), np.arange(1, 7)[:, None]
+    at, who, score = topk.Shard(ids, data).search(np.array([3, 9, 8]), np.array([[1], [1], [-2]]), 2)
+    assert list(zip(at.tolist(), who.tolist(), score.tolist())) == [(0, 8, 6), (0, 2, 4), (1, 8, 6), (1, 3, 5), (2, 3, -2), (2, 1, -4)]
+
+
 def test_top_k_over_shards_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 60)
     monkeypatch.setattr(topk, "BLOCK_QUERIES", 7)
