@@ -15,7 +15,8 @@ error.
 
 Only tokens of the templates are ever counted, and the templates are a parameter of fixed size: the
 token order (a row per template token) is the one thing that reaches the driver, and the template side
-of the join is a literal table. Texts are not shuffled.
+of the join is a literal table. Texts are read once; their phrases' places and tokens are stored, and all
+that follows reads these. Texts are not shuffled.
 
 Defined results: null and empty texts have no words, no labels and score 0; labels are distinct,
 sorted and comma-joined (empty if none); the score is 1 with a base phrase, else the largest share
@@ -31,7 +32,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meterlark.llm.common import ALNUM_BREAK, alnum_words, lower_ascii
+from meterlark.llm.common import ALNUM_BREAK, lower_ascii, materialise
 
 #: Fixed values of the contract: phrase, label.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -78,17 +79,14 @@ def needed(n: int, threshold: float) -> int:
 
 def _spaced(text: Column) -> Column:
     """The text's words joined by single blanks."""
-    return F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), ALNUM_BREAK, " "))
+    whole = F.coalesce(text, F.lit(""))
+    # ``lower`` is much faster, and the same on a text of ASCII characters alone
+    lowered = F.when(F.octet_length(whole) == F.length(whole), F.lower(whole)).otherwise(lower_ascii(whole))
+    return F.trim(F.regexp_replace(lowered, ALNUM_BREAK, " "))
 
 
-def _words_in(spaced: Column) -> Column:
-    return F.when(spaced == "", 0).otherwise(F.length(spaced) - F.length(F.translate(spaced, " ", "")) + 1).cast("long")
-
-
-def phrase_places(docs: DataFrame, phrases: tuple = PHRASES) -> DataFrame:
-    """(doc_id, h, n_words, n_base, first_word, last_word, base) with base the array of labels."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), _spaced(F.col("text")).alias("t"))
-    t = F.col("t")
+def _places(t: Column, phrases: tuple) -> dict[str, Column]:
+    """n_base, first_word, last_word and the array ``base`` of labels of a text ``t`` of ``_spaced``."""
     counts, firsts, lasts, labels = [], [], [], []
     for phrase, label in phrases:
         whole = rf"(?<![^ ]){phrase}(?![^ ])"
@@ -96,47 +94,72 @@ def phrase_places(docs: DataFrame, phrases: tuple = PHRASES) -> DataFrame:
         found = F.contains(t, F.lit(phrase)) & (n > 0)
         before = lambda prefix: (F.length(prefix) - F.length(F.translate(prefix, " ", ""))).cast("long")
         counts.append(F.when(found, n).otherwise(0).cast("long"))
-        firsts.append(F.when(found, before(F.expr("substring(t, 1, " + f"regexp_instr(t, '{whole}') - 1)"))))
+        firsts.append(F.when(found, before(F.substring(t, F.lit(1), F.regexp_instr(t, F.lit(whole)) - 1))))
         lasts.append(F.when(found, before(F.regexp_extract(t, f"(?s)^(.*){whole}", 1))))
         labels.append(F.when(found, F.lit(label)))
-    return rows.select(
-        "doc_id",
-        "h",
-        _words_in(t).alias("n_words"),
-        reduce(lambda a, b: a + b, counts).alias("n_base"),
-        F.least(*firsts).alias("first_word"),
-        F.greatest(*lasts).alias("last_word"),
-        F.array_sort(F.array_compact(F.array(*labels))).alias("base"),
-    )
+    return {
+        "n_base": reduce(lambda a, b: a + b, counts),
+        "first_word": F.least(*firsts),
+        "last_word": F.greatest(*lasts),
+        "base": F.array_sort(F.array_compact(F.array(*labels))),
+    }
 
 
-def _tokens(text: Column, wanted: list[str]) -> Column:
-    """The text's pairs of neighbouring words, null where a pair is none of ``wanted``."""
-    words = alnum_words(text)
-    n = F.greatest(F.size(words) - 1, F.lit(0))
+def _tokens(words: Column, wanted: list[str]) -> Column:
+    """(p, t) of the pairs of neighbouring words that are ``wanted``, with p the first one's place.
+
+    ``words`` has to be a stored column: an expression would be evaluated anew for every word.
+    """
     firsts, seconds = (sorted({t.split()[k] for t in wanted}) for k in (0, 1))
-    joined = F.zip_with(
-        F.slice(words, F.lit(1), n),
-        F.slice(words, F.lit(2), n),
-        lambda a, b: F.when(a.isin(firsts) & b.isin(seconds), F.concat(a, F.lit(" "), b)),
+
+    def pair(a: Column, p: Column) -> Column:
+        b = F.get(words, p + 1)
+        return F.when(a.isin(firsts) & b.isin(seconds), F.struct(p.alias("p"), F.concat(a, F.lit(" "), b).alias("t")))
+
+    return F.filter(F.transform(words, pair), lambda x: x.isNotNull() & x["t"].isin(wanted))
+
+
+def noted(docs: DataFrame, templates: tuple = TEMPLATES, phrases: tuple = PHRASES) -> DataFrame:
+    """What is needed of each row of ``docs``, in one pass over the texts and stored without them.
+
+    (doc_id, d, h, n_words, n_base, first_word, last_word, base, tokens), with ``d`` the id or a value for null, ``h``
+    a hash of the text and ``tokens`` the places of the templates' tokens.
+    """
+    vocabulary = sorted({t for *_, text in templates for t in pairs_of(text)})
+    spaced = docs.select("doc_id", F.xxhash64("text").alias("h"), _spaced(F.col("text")).alias("t"))
+    words = spaced.withColumn("w", F.split("t", " "))
+    rows = words.select(
+        "doc_id",
+        F.coalesce("doc_id", F.expr("-9223372036854775807L")).alias("d"),
+        "h",
+        F.when(F.col("t") == "", 0).otherwise(F.size("w")).cast("long").alias("n_words"),
+        *[c.alias(name) for name, c in _places(F.col("t"), phrases).items()],
+        _tokens(F.col("w"), vocabulary).alias("tokens"),
     )
-    return joined
+    return materialise(rows, "noted")
 
 
-def token_order(docs: DataFrame, templates: tuple = TEMPLATES) -> list[str]:
-    """The templates' distinct tokens, the rarest in all of ``docs`` first."""
+def token_order(rows: DataFrame, templates: tuple = TEMPLATES) -> list[str]:
+    """The templates' distinct tokens, the rarest in all ``rows`` of ``noted`` first."""
     vocabulary = sorted({t for *_, text in templates for t in pairs_of(text)})
-    tokens = docs.select(F.explode(F.array_compact(_tokens(F.col("text"), vocabulary))).alias("t")).filter(F.col("t").isin(vocabulary))
-    counts = {r["t"]: r["n"] for r in tokens.groupBy("t").agg(F.count("*").alias("n")).collect()}
+    counts = {r["t"]: r["n"] for r in rows.select(F.explode("tokens.t").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
     return sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
 
 
 def template_blocks(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(d, h, block, template, label, share) of every block that meets a template."""
+    """(d, h, block, template, label, share) of every block of ``docs`` (doc_id, text) that meets a template."""
+    _refuse(templates)
+    return _blocks(noted(docs, templates), templates, threshold)
+
+
+def _refuse(templates: tuple) -> None:
     if any(len(text.split()) < 2 for *_, text in templates):
         raise ValueError("a template needs two words or more")
-    spark = docs.sparkSession
-    order = token_order(docs, templates)
+
+
+def _blocks(noted_rows: DataFrame, templates: tuple, threshold: float) -> DataFrame:
+    spark = noted_rows.sparkSession
+    order = token_order(noted_rows, templates)
     rank = {t: k for k, t in enumerate(order)}
     sides, prefixes, held_by = [], [], set()
     for name, (label, decides, text) in enumerate(templates):
@@ -149,11 +172,9 @@ def template_blocks(docs: DataFrame, templates: tuple = TEMPLATES, threshold: fl
     side = F.broadcast(spark.createDataFrame(sides, "template int, label string, own array<int>, decides array<int>, need int"))
     steps = F.broadcast(spark.createDataFrame(sorted(held_by), "t string, token int, step int"))  # a row per template token
     firsts = sorted({order[r] for r, *_ in prefixes})
-    text = F.col("text")
     rows = (
-        docs.filter(F.exists(_tokens(text, firsts), lambda t: F.coalesce(t.isin(firsts), F.lit(False))))
-        .select(F.coalesce("doc_id", F.expr("-9223372036854775807L")).alias("d"), F.xxhash64("text").alias("h"), F.posexplode(_tokens(text, order)).alias("p", "t"))
-        .filter("t is not null")
+        noted_rows.filter(F.exists("tokens", lambda x: x["t"].isin(firsts)))
+        .select("d", "h", F.inline("tokens"))
         .join(steps, "t")
     )
     # the blocks, of 2 * step words every step words, that hold both words of the pair
@@ -179,10 +200,9 @@ def template_blocks(docs: DataFrame, templates: tuple = TEMPLATES, threshold: fl
 
 def scan(docs: DataFrame, templates: tuple = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """The phrases' places, all labels and the score for each row of ``docs`` (doc_id, text)."""
-    found = template_blocks(docs, templates, threshold).groupBy("d", "h").agg(
-        F.collect_set("label").alias("more"), F.max("share").alias("share")
-    )
-    base = phrase_places(docs).withColumn("d", F.coalesce("doc_id", F.expr("-9223372036854775807L")))
+    _refuse(templates)
+    base = noted(docs, templates)
+    found = _blocks(base, templates, threshold).groupBy("d", "h").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
     none = F.array().cast("array<string>")
     return base.join(found, ["d", "h"], "left").select(
         "doc_id",

@@ -251,6 +251,16 @@ def test_license_blocks_against_brute_force(spark):
         licenses.template_blocks(docs, (("x", "", "alone"),))
 
 
+def test_license_scan_reads_texts_once(spark, tmp_path):
+    """Later steps read what the one pass stored; letters beyond ASCII are not folded beside A-Z."""
+    texts = ["CC BY", "\u00c9 CC BY \u00c9", "CC \u212aBY", "\u0130CC BY", "Licensed under the MIT License \u00c9", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    found = licenses.scan(spark.read.parquet(str(tmp_path / "docs")))
+    assert str(tmp_path) not in "".join(found.inputFiles())
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.labels) for r in found.collect()}
+    assert got == {0: (2, 1, 0, "cc-by"), 1: (4, 1, 1, "cc-by"), 2: (2, 0, None, ""), 3: (2, 0, None, ""), 4: (6, 0, None, "mit"), 5: (0, 0, None, "")}
+
+
 # --- 4 ----------------------------------------------------------------------------------------------------
 
 def _without_repeats(rows, length=100):
